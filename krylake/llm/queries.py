@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, each with its SQL where SQL can express it."""
 
-from krylake.llm import exact_dedup
+from krylake.llm import exact_dedup, langid, licenses
 
-QUERIES = {"op3_exact_dedup": exact_dedup.query}
+QUERIES = {"op3_exact_dedup": exact_dedup.query, "op9_license_scan": licenses.query, "op10_language_id": langid.query}
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
