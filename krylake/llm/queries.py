@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, each with its SQL where SQL can express it."""
 
-from krylake.llm import exact_dedup, langid, licenses, packing, sharding, toxicity
+from krylake.llm import exact_dedup, langid, licenses, packing, sharding, simhash, toxicity
 
-QUERIES = {"op3_exact_dedup": exact_dedup.query, "op4_label_sharding": sharding.query, "op5_toxicity": toxicity.query, "op7_mixture_packing": packing.query, "op9_license_scan": licenses.query, "op10_language_id": langid.query}
+QUERIES = {"op2_simhash": simhash.query, "op3_exact_dedup": exact_dedup.query, "op4_label_sharding": sharding.query, "op5_toxicity": toxicity.query, "op7_mixture_packing": packing.query, "op9_license_scan": licenses.query, "op10_language_id": langid.query}
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
