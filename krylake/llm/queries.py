@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, each with its SQL where SQL can express it."""
 
-from krylake.llm import embedding_dedup, exact_dedup, langid, licenses, packing, sharding, simhash, toxicity
+from krylake.llm import embedding_dedup, exact_dedup, langid, licenses, ngram_lm, packing, sharding, simhash, toxicity
 
-QUERIES = {"op2_simhash": simhash.query, "op3_exact_dedup": exact_dedup.query, "op4_label_sharding": sharding.query, "op5_toxicity": toxicity.query, "op7_mixture_packing": packing.query, "op8_embedding_dedup": embedding_dedup.query, "op9_license_scan": licenses.query, "op10_language_id": langid.query}
+QUERIES = {"op1_lm_scoring": ngram_lm.query, "op2_simhash": simhash.query, "op3_exact_dedup": exact_dedup.query, "op4_label_sharding": sharding.query, "op5_toxicity": toxicity.query, "op7_mixture_packing": packing.query, "op8_embedding_dedup": embedding_dedup.query, "op9_license_scan": licenses.query, "op10_language_id": langid.query}
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
