@@ -25,7 +25,9 @@ from krylake.llm.common import table
 SPACE = "▁"
 WORDS = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 SEGMENT = 64  # signs of a word that one lattice spans; longer words are cut into such segments
-CHUNK_ROWS, CHUNK_BYTES = 4096, 8 << 20
+CHUNK_ROWS, CHUNK_BYTES = 8192, 16 << 20
+MANY = 1e10  # costs as much as no path's scores can: fewest pieces come first
+ID_MASK, BYTES = (1 << 40) - 1, (1 << 40) - 1
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_checked", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -43,29 +45,42 @@ def piece_rows(path: str) -> list[tuple[str, int, float]]:
 
 
 def lattice(words: DataFrame, path: str) -> DataFrame:
-    """words (chunk, word): adds ids, the best path's pieces. The piece table is a fixed vocabulary and broadcast."""
+    """words (chunk, word): adds ids, the best path's pieces. The piece table is a fixed vocabulary and broadcast.
+
+    An edge is one long, end << 52 | start << 40 | id, so that edges sort by their end; a sign without
+    a piece has an edge with the id BYTES. The fold keeps the best cost and last edge of each position.
+    """
     rows = piece_rows(path)
     longest = max(len(p) for p, _, _ in rows)
     first_byte = processor(path).piece_to_id("<0x00>")
-    pieces = F.broadcast(words.sparkSession.createDataFrame(rows, "piece string, id int, score double"))
+    pieces = F.broadcast(words.sparkSession.createDataFrame([(p, i, MANY - s) for p, i, s in rows], "piece string, id long, cost double"))
     starts = words.select("chunk", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
     spans = starts.select("chunk", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("len"))
-    parts = spans.select("chunk", "word", "start", (F.col("start") + F.col("len")).alias("end"), F.col("word").substr(F.col("start") + 1, F.col("len")).alias("piece"))
-    edges = parts.join(pieces, "piece", "left").filter("id IS NOT NULL OR end = start + 1")
-    as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda k: F.conv(F.substring(F.hex("piece"), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
-    edge = F.struct("start", F.when(F.col("id").isNull(), F.lit(-100.0) * F.octet_length("piece")).otherwise(F.lit(-1.0)).alias("fewest"), F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.col("id").isNull(), as_bytes).otherwise(F.array("id")).alias("ids"))
-    by_end = edges.groupBy("chunk", "word", "end").agg(F.collect_list(edge).alias("edges"))
-    levels = by_end.groupBy("chunk", "word").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("levels"))
-    nothing = F.array(F.struct(F.lit(0.0).alias("fewest"), F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+    parts = spans.select("chunk", "word", "start", "len", F.col("word").substr(F.col("start") + 1, F.col("len")).alias("piece"))
+    edges = parts.join(pieces, "piece", "left").filter("id IS NOT NULL OR len = 1")
+    packed = F.expr(f"shiftleft(cast(start + len AS long), 52) | shiftleft(cast(start AS long), 40) | coalesce(id, {BYTES})")
+    grouped = edges.groupBy("chunk", "word").agg(F.sort_array(F.collect_list(F.struct(packed.alias("edge"), F.coalesce("cost", F.lit(100 * MANY)).alias("cost")))).alias("edges"))
+
+    def step(best, e):
+        start = F.shiftright(e["edge"], 40).bitwiseAND(F.lit(0xFFF)).cast("int")
+        new = F.struct((best[start]["cost"] + e["cost"]).alias("cost"), e["edge"].alias("edge"))
+        first = F.shiftright(e["edge"], 52) == F.size(best)  # the first edge that ends here
+        better = best[start]["cost"] + e["cost"] < F.element_at(best, -1)["cost"]
+        return F.when(first, F.concat(best, F.array(new))).when(better, F.concat(F.slice(best, F.lit(1), F.size(best) - 1), F.array(new))).otherwise(best)
+
+    def back(path_, _):  # from the last edge to the first
+        at = F.when(F.size(path_) == 0, F.size("best") - 1).otherwise(F.shiftright(path_[0], 40).bitwiseAND(F.lit(0xFFF)).cast("int"))
+        return F.when(at > 0, F.concat(F.array(F.col("best")[at]["edge"]), path_)).otherwise(path_)
 
-    def step(best, level):  # best[i]: the best path to position i; ties go to the larger ids
-        def longer(e):
-            before = best[e["start"]]
-            return F.struct((before["fewest"] + e["fewest"]).alias("fewest"), (before["score"] + e["score"]).alias("score"), F.concat(before["ids"], e["ids"]).alias("ids"))
+    folded = grouped.select("chunk", "word", F.aggregate("edges", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("edge"))), step).alias("best"))
+    paths = folded.select("chunk", "word", F.aggregate(F.slice("best", F.lit(2), F.size("best")), F.array().cast("array<long>"), back).alias("path"))
 
-        return F.concat(best, F.array(F.array_max(F.transform(level["edges"], longer))))
+    def ids_of(e):
+        hexed = F.hex(F.col("word").substr(F.shiftright(e, 40).bitwiseAND(F.lit(0xFFF)).cast("int") + 1, F.lit(1)))
+        as_bytes = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda k: F.conv(F.substring(hexed, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
+        return F.when(e.bitwiseAND(F.lit(ID_MASK)) == BYTES, as_bytes).otherwise(F.array(e.bitwiseAND(F.lit(ID_MASK)).cast("int")))
 
-    return levels.select("chunk", "word", F.aggregate("levels", nothing, step, lambda best: F.element_at(best, -1)["ids"]).alias("ids"))
+    return paths.select("chunk", "word", F.flatten(F.transform("path", ids_of)).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -88,7 +103,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         sp, known, checked = processor(path), {}, {}
         for word, ids in zip(told.column("word").to_pylist(), told.column("ids").to_pylist(), strict=True):
             plain = word.replace(SPACE, " ")
-            exact = sp.encode(plain[1:]) if word[0] == SPACE else sp.encode(f"\n{plain}")[2:]  # without the space put in front
+            exact = [sp.piece_to_id(SPACE)] if word == SPACE else sp.encode(plain[1:]) if word[0] == SPACE else sp.encode(f"\n{plain}")[2:]  # without the space put in front
             known[word] = np.array(exact, np.int32)
             checked[word] = len(exact) if exact != ids else 0
         out = []
@@ -106,10 +121,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", name: str = "text")
     """Adds the text of `ids` (null for null): pieces and bytes looked up by id, joined as bytes, spaces put back."""
     sp = processor(path)
     hexed = [sp.id_to_piece(i)[3:5] if sp.is_byte(i) else "" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).encode().hex() for i in range(sp.get_piece_size())]
-    tables = F.broadcast(encoded.sparkSession.createDataFrame([(hexed,)], "_hexed array<string>"))
-    raw = F.array_join(F.transform(F.col(ids), lambda i: F.element_at("_hexed", i + 1)), "")
+    by_id = F.split(F.lit(",".join(hexed)), ",")  # a constant of the plan: folded once, not copied into rows
+    raw = F.array_join(F.transform(F.col(ids), lambda i: F.element_at(by_id, i + 1)), "")
     spaced = F.replace(F.decode(F.unhex(raw), "UTF-8"), F.lit(SPACE), F.lit(" "))
-    return encoded.join(tables).withColumn(name, F.when(F.startswith(spaced, F.lit(" ")), spaced.substr(F.lit(2), F.length(spaced))).otherwise(spaced)).drop("_hexed")
+    return encoded.withColumn(name, F.when(F.startswith(spaced, F.lit(" ")), spaced.substr(F.lit(2), F.length(spaced))).otherwise(spaced))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
