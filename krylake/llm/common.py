@@ -78,6 +78,22 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def annotated(docs: DataFrame, fields: str, answer) -> DataFrame:
+    """`docs` with more columns (DDL `fields`): answer(doc_ids, texts) gives a list for each; texts come a few at a time."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches):
+        found = answer()
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                own = b.slice(at, 64)
+                more = found(own.column("doc_id").to_pylist(), own.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c) for c in more]], names=[*own.schema.names, *names])
+
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return base.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields], fields]))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shifts and odd multipliers), vectorised."""
     x = x.astype(np.uint64, copy=True)

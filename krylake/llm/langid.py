@@ -8,18 +8,17 @@ mean of its windows'. Texts are covered from end to end by windows. The network
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from krylake.llm.common import batch, lowered, table
+from krylake.llm.common import annotated, lowered, table
 
 WINDOW, WIDTHS, FILTERS, DEPTH = 256, (2, 3, 4), 16, 8
 CHUNK = 1024  # windows that are scored at once
 LETTER = re.compile(r"[^\W\d_]")
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 def byte_classes() -> np.ndarray:
@@ -138,13 +137,25 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def sampled(docs: DataFrame, label: str, per_label: int) -> list:
-    """(text, label) of at most `per_label` training rows of each label, by a hash of doc_id; only their ids are ranked."""
-    known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", label).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_label).select(F.col("doc_id").alias("_id")).distinct()
-    rows = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", label).collect()
-    return sorted(((r["doc_id"], r["text"], r[label]) for r in rows), key=str)
+def sampled(rows: DataFrame, label: str, per_label: int) -> list:
+    """Rows, at most `per_label` of each label, those with the smallest hashes of doc_id: labels are counted
+    first, and a hash threshold lets through little more than is wanted, so that nothing is ranked at large."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))  # a row a label
+    cut = F.ceil((per_label + 6 * per_label**0.5 + 10) / F.col("_n") * (1 << 30))
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    got = rows.join(F.broadcast(counts.select(F.col(label).alias("_label"), cut.alias("_cut"))), F.col(label) == F.col("_label")).withColumn("_h", hashed).filter("_h < _cut").drop("_label", "_cut").collect()
+    taken: Counter = Counter()
+    out = []
+    for r in sorted(got, key=lambda r: (r["_h"], str(r))):
+        taken[r[label]] += 1
+        if taken[r[label]] <= per_label:
+            out.append(r)
+    return out
+
+
+def trainable(docs: DataFrame, label: str) -> DataFrame:
+    """Rows with a label and a text whose crc32(doc_id as text) mod 4 is not 2."""
+    return docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
 
 
 def identify(docs: DataFrame, per_language: int = 300) -> DataFrame:
@@ -155,18 +166,23 @@ def identify(docs: DataFrame, per_language: int = 300) -> DataFrame:
     Ties between languages go to the first by name. Rows that repeat each get a row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    rows = sampled(docs, "lang", per_language)
-    model = fit([lowered(t) for _, t, _ in rows], [y for _, _, y in rows])
+    return annotate(docs, per_language).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def annotate(docs: DataFrame, per_language: int = 300) -> DataFrame:
+    """`docs` with _held_out, _lang_pred and _score added."""
+    rows = sampled(trainable(docs.select("doc_id", "text", "lang"), "lang"), "lang", per_language)
+    model = fit([lowered(r["text"]) for r in rows], [r["lang"] for r in rows])
     t = tables(model) if model else None
 
-    def run(batches):
-        for b in batches:
-            ids, texts, got = b.column(0).to_pylist(), b.column(1), []
-            for i in range(0, len(ids), 64):
-                got += predict(t, texts.slice(i, 64).to_pylist())
-            yield batch(SCHEMA, ids, [held_out(i) for i in ids], [x for x, _ in got], [x for _, x in got])
+    def answer():
+        def found(ids, texts):
+            got = predict(t, texts)
+            return [held_out(i) for i in ids], [x for x, _ in got], [x for _, x in got]
+
+        return found
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return annotated(docs.drop(*[c for c in docs.columns if c in ("_held_out", "_lang_pred", "_score")]), "_held_out boolean, _lang_pred string, _score double", answer)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
