@@ -17,9 +17,9 @@ def latest(rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
 
 
 def sparkline(rows: DataFrame, key: str, order: str, value: str, n: int = 80) -> DataFrame:
-    """Adds the mean, minimum and maximum of the last n values of a key."""
+    """Adds the number, mean, minimum and maximum of the last n values of a key."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)
-    return rows.withColumn("mean", F.avg(value).over(w)).withColumn("low", F.min(value).over(w)).withColumn("high", F.max(value).over(w))
+    return rows.withColumn("held", F.count("*").over(w)).withColumn("mean", F.avg(value).over(w)).withColumn("low", F.min(value).over(w)).withColumn("high", F.max(value).over(w))
 
 
 def stagnation(rows: DataFrame, key: str, order: str, value: str, gain: float = 0.01) -> DataFrame:

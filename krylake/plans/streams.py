@@ -1 +1,37 @@
+"""Streams replayed from the table events until their end; SQL gives what a batch over the same rows gives."""
 
+from pyspark.sql import functions as F
+
+from krylake.plans.registry import query
+from krylake.plans.tables import table  # noqa: F401
+from krylake.streaming import assimilation as a
+
+
+@query("SELECT user_id, least(count(*), 80) AS n, arg_max(event_id, ts) AS newest, round(avg(value) FILTER (r <= 80), 4) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) GROUP BY user_id")
+def stream_trails(spark, sf_dir):
+    table(spark, sf_dir, "events")
+    out = a.drained(a.trails(a.replay(spark, sf_dir, "events"), "user_id"), "update", each=lambda df, n: df)
+    last = out.groupBy("user_id").agg(F.max(F.struct("batch", "n", "newest", "mean")).alias("m"))
+    return last.select("user_id", "m.n", "m.newest", F.round("m.mean", 4).alias("mean"))
+
+
+@query("SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY user_id")
+def stream_latest_wins(spark, sf_dir):
+    table(spark, sf_dir, "events")
+    return a.latest_wins(a.replay(spark, sf_dir, "events"), "user_id")
+
+
+@query("""WITH c AS (SELECT user_id, max(ts) AS at, max(ts) FILTER (event_type = 'signup') AS cleared FROM events GROUP BY user_id)
+SELECT c.user_id AS user_id, count(e.ts) AS active FROM c LEFT JOIN events e ON e.user_id = c.user_id AND e.event_type = 'error' AND e.ts > coalesce(c.cleared, TIMESTAMP '1970-01-01') AND e.ts > c.at - INTERVAL 5 DAY GROUP BY c.user_id""")
+def stream_incident_state(spark, sf_dir):
+    table(spark, sf_dir, "events")
+    out = a.drained(a.active_incidents(a.replay(spark, sf_dir, "events"), "user_id", "error", "signup", 5 * 86400), "update", each=lambda df, n: df)
+    return out.groupBy("user_id").agg(F.max(F.struct("at", "active")).alias("m")).select("user_id", F.col("m.active").alias("active"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
+def stream_tumbling(spark, sf_dir):
+    """Extension: daily counts under a watermark; the day that is still open at the end isn't given."""
+    table(spark, sf_dir, "events")
+    out = a.drained(a.windowed(a.replay(spark, sf_dir, "events"), "1 day", "1 hour"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -14,7 +14,10 @@ from krylake.plans.tables import shared_dir
 def replay(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
     """A table's files as a stream, event time as a timestamp for watermarks."""
     path = f"{sf_dir}/{name}.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
