@@ -1,4 +1,4 @@
-"""Extension: relational queries over the star schema that the reference has no counterpart of."""
+"""Extension: relational queries over the star schema, beyond points, fields and systems."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
