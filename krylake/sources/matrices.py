@@ -30,8 +30,11 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
 
 def frame(cells: DataFrame, header: dict[str, Column], values: list[str]) -> DataFrame:
     """One row per frame: header fields, and each value as an array ordered by (gy, gx)."""
-    arrays = [F.transform(F.sort_array(F.collect_list(F.struct("gy", "gx", v))), lambda c, v=v: c[v].cast("float")).alias(v) for v in values]
-    return cells.agg(*arrays).select(*[c.alias(k) for k, c in header.items()], *values)
+
+    def ordered(v: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct("gy", "gx", v))), lambda c: c[v].cast("float")).alias(v)
+
+    return cells.agg(*map(ordered, values)).select(*[c.alias(k) for k, c in header.items()], *values)
 
 
 def capabilities(header: dict[str, Column], source: DataFrame) -> DataFrame:
