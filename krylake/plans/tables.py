@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_dirs: dict[str, str] = {}
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="krylake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="krylake-")
+        found = _own_dirs[app]
     return found.rstrip("/")
