@@ -45,7 +45,7 @@ def piece_rows(path: str) -> list[tuple[str, int, float]]:
 
 
 def lattice(words: DataFrame, path: str) -> DataFrame:
-    """words (chunk, word): adds ids, the best path's pieces. The piece table is a fixed vocabulary and broadcast.
+    """words (chunk, word, some): adds ids, the best path's pieces. The piece table is a fixed vocabulary and broadcast.
 
     An edge is one long, end << 52 | start << 40 | id, so that edges sort by their end; a sign without
     a piece has an edge with the id BYTES. The fold keeps the best cost and last edge of each position.
@@ -54,12 +54,12 @@ def lattice(words: DataFrame, path: str) -> DataFrame:
     longest = max(len(p) for p, _, _ in rows)
     first_byte = processor(path).piece_to_id("<0x00>")
     pieces = F.broadcast(words.sparkSession.createDataFrame([(p, i, MANY - s) for p, i, s in rows], "piece string, id long, cost double"))
-    starts = words.select("chunk", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select("chunk", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("len"))
-    parts = spans.select("chunk", "word", "start", "len", F.col("word").substr(F.col("start") + 1, F.col("len")).alias("piece"))
+    starts = words.select("chunk", "word", "some", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    spans = starts.select("chunk", "word", "some", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("len"))
+    parts = spans.select("chunk", "word", "some", "start", "len", F.col("word").substr(F.col("start") + 1, F.col("len")).alias("piece"))
     edges = parts.join(pieces, "piece", "left").filter("id IS NOT NULL OR len = 1")
     packed = F.expr(f"shiftleft(cast(start + len AS long), 52) | shiftleft(cast(start AS long), 40) | coalesce(id, {BYTES})")
-    grouped = edges.groupBy("chunk", "word").agg(F.sort_array(F.collect_list(F.struct(packed.alias("edge"), F.coalesce("cost", F.lit(100 * MANY)).alias("cost")))).alias("edges"))
+    grouped = edges.groupBy("chunk", "word").agg(F.sort_array(F.collect_list(F.struct(packed.alias("edge"), F.coalesce("cost", F.lit(100 * MANY)).alias("cost")))).alias("edges"), F.min("some").alias("some"))
 
     def step(best, e):
         start = F.shiftright(e["edge"], 40).bitwiseAND(F.lit(0xFFF)).cast("int")
@@ -72,15 +72,15 @@ def lattice(words: DataFrame, path: str) -> DataFrame:
         at = F.when(F.size(path_) == 0, F.size("best") - 1).otherwise(F.shiftright(path_[0], 40).bitwiseAND(F.lit(0xFFF)).cast("int"))
         return F.when(at > 0, F.concat(F.array(F.col("best")[at]["edge"]), path_)).otherwise(path_)
 
-    folded = grouped.select("chunk", "word", F.aggregate("edges", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("edge"))), step).alias("best"))
-    paths = folded.select("chunk", "word", F.aggregate(F.slice("best", F.lit(2), F.size("best")), F.array().cast("array<long>"), back).alias("path"))
+    folded = grouped.select("chunk", "word", "some", F.aggregate("edges", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("edge"))), step).alias("best"))
+    paths = folded.select("chunk", "word", "some", F.aggregate(F.slice("best", F.lit(2), F.size("best")), F.array().cast("array<long>"), back).alias("path"))
 
     def ids_of(e):
         hexed = F.hex(F.col("word").substr(F.shiftright(e, 40).bitwiseAND(F.lit(0xFFF)).cast("int") + 1, F.lit(1)))
         as_bytes = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda k: F.conv(F.substring(hexed, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
         return F.when(e.bitwiseAND(F.lit(ID_MASK)) == BYTES, as_bytes).otherwise(F.array(e.bitwiseAND(F.lit(ID_MASK)).cast("int")))
 
-    return paths.select("chunk", "word", F.flatten(F.transform("path", ids_of)).alias("ids"))
+    return paths.select("chunk", "word", "some", F.flatten(F.transform("path", ids_of)).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -95,9 +95,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     chunks = max(1, -(-rows // CHUNK_ROWS), -(-size // CHUNK_BYTES))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(chunks)).cast("int")).repartition("chunk")
     marked = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    words = dealt.filter("text <> ''").select("chunk", F.explode(F.regexp_extract_all(marked, F.lit(f"(?:{WORDS})"), 0)).alias("word"))
-    cut = words.groupBy("chunk", "word").agg(F.count("*").alias("_n")).select("chunk", F.explode(F.when(F.length("word") <= SEGMENT, F.array("word")).otherwise(F.transform(F.sequence(F.lit(0), F.length("word") - 1, F.lit(SEGMENT)), lambda i: F.col("word").substr(i + 1, F.lit(SEGMENT))))).alias("word")).distinct()
-    found = lattice(cut, path).select(F.col("chunk").alias("part"), "word", "ids")
+    # a doc_id goes along, so that both uses of the dealt texts read the same columns and the shuffle is done once
+    words = dealt.select("chunk", "doc_id", F.explode(F.regexp_extract_all(marked, F.lit(f"({WORDS})"), 0)).alias("word")).groupBy("chunk", "word").agg(F.min("doc_id").alias("some"))
+    segments = F.when(F.length("word") <= SEGMENT, F.array("word")).otherwise(F.transform(F.sequence(F.lit(0), F.length("word") - 1, F.lit(SEGMENT)), lambda i: F.col("word").substr(i + 1, F.lit(SEGMENT))))
+    cut = words.select("chunk", "some", F.explode(segments).alias("word")).groupBy("chunk", "word").agg(F.min("some").alias("some"))
+    found = lattice(cut, path).select(F.col("chunk").alias("part"), "word", "ids", "some")
 
     def apply(texts: pa.Table, told: pa.Table) -> pa.Table:
         sp, known, checked = processor(path), {}, {}
