@@ -7,9 +7,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_own_dirs: dict[str, str] = {}
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -30,8 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="krylake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="krylake-")
+        found = _own_dirs[app]
     return found.rstrip("/")
 
 
@@ -52,14 +55,15 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, name: str, salts: int = 64, weight: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: str, name: str, salts: int = 64, weight: str | None = None, by: Column | None = None) -> DataFrame:
     """Adds the rank (from 0) of each row within `keys`, or the sum of `weight` over the rows before it.
 
     No window holds more than about 1/salts of a key's rows: rows are numbered within salted
-    parts, and the parts' totals are summed over at most `salts` rows a key. `order` is unique.
+    parts, and the parts' totals are summed over at most `salts` rows a key. `order` is unique. Rows
+    with the same `by` (default: `order`) are of one part, and so get neighbouring ranks.
     """
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    parts = df.withColumn("_salt", F.pmod(F.xxhash64(order, F.lit(17)), F.lit(salts)).cast("int"))
+    parts = df.withColumn("_salt", F.pmod(F.xxhash64(order, F.lit(17)) if by is None else by, F.lit(salts)).cast("int"))
     totals = parts.groupBy(*keys, "_salt").agg(F.sum(w).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_salt").alias("_s"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))

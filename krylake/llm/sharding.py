@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from krylake.llm.common import forget, ranked, table, written
 
 ROUND_ROWS = 100_000  # rows of a key that one window holds at most, about
+RUN = 1000  # copies of a text that stay together when ranks are dealt out
 
 
 def quota(shard: Column, rows: int, shards: int) -> Column:
@@ -22,15 +23,18 @@ def quota(shard: Column, rows: int, shards: int) -> Column:
 
 
 def propagated(state: DataFrame, rows: int, shards: int, rounds: int) -> DataFrame:
-    """state (key, shard, n): where the copies of each text are; returns the same after the moves."""
+    """state (key, shard, n): where the copies of each text are; returns the same once none wants to move, or after `rounds` rounds of moves."""
     state = written(state)
     for i in range(rounds):
-        top = state.groupBy("key").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("t"), F.count("*").alias("at")).filter("at > 1").select("key", (-F.col("t.s")).cast("int").alias("target"))
+        top = state.groupBy("key").agg(F.max(F.struct("n", F.xxhash64("key", "shard").alias("h"), "shard")).alias("t"), F.count("*").alias("at")).filter("at > 1").select("key", F.col("t.shard").alias("target"))
         wishes = state.join(top, "key").filter("shard <> target")
+        if wishes.isEmpty():
+            break
         loads = state.groupBy("shard").agg(F.sum("n").alias("load"))
+        left = wishes.groupBy("shard").agg(F.sum("n").alias("left"))
         asked = wishes.groupBy(F.col("target").alias("shard")).agg(F.sum("n").alias("asked"))
-        # a shard a row: the share of what is asked of it that it has room for
-        room = asked.join(loads, "shard", "left").select(F.col("shard").alias("target"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (quota(F.col("shard"), rows, shards) - F.coalesce("load", F.lit(0))) / F.col("asked"))).alias("share"))
+        # a shard a row: the share of what is asked of it that it has room for, counting what wants to leave as gone
+        room = asked.join(loads, "shard", "left").join(left, "shard", "left").select(F.col("shard").alias("target"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (quota(F.col("shard"), rows, shards) - F.coalesce("load", F.lit(0)) + F.coalesce("left", F.lit(0))) / F.col("asked"))).alias("share"))
         # whole rows move: the fraction left moves or stays by a hash
         part = F.col("n") * F.col("share")
         chance = F.pmod(F.xxhash64("key", "shard", F.lit(i)), F.lit(1 << 20)) / F.lit(1 << 20)
@@ -42,7 +46,7 @@ def propagated(state: DataFrame, rows: int, shards: int, rounds: int) -> DataFra
     return state
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of `docs` (doc_id, text; others are ignored).
 
     Law `rows`: the shards' row counts are at most one apart. A null text is empty, size 8, and equal
@@ -55,24 +59,41 @@ def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
     rows = base.count()
     salts = max(64, -(-rows // ROUND_ROWS))
     copies = base.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
-    linked = base.join(copies, "key").select("doc_id", "key")
+    # a text with more copies than a shard holds (there are at most `shards` of them) is cut anyway: it fills up last, in one run
+    hot = {bytes(r["key"]): r["copies"] for r in copies.filter(F.col("copies") > rows // shards).collect()}
+    large = F.col("copies") > rows // shards
+    linked = base.join(copies.filter(~large), "key").select("doc_id", "key")
     linked = written(ranked(linked, ["key"], "doc_id", "nth", salts))
     first = linked.groupBy("key", F.pmod(F.xxhash64("key", F.pmod("nth", F.lit(shards))), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
     state = propagated(first, rows, shards, rounds)
     # a text's copies in the order of their ranks go to its shards in turn; at most `shards` entries a text
     ends = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     spans = state.withColumn("end", F.sum("n").over(ends)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("spans"))
-    wished = linked.join(spans, "key").select("doc_id", "nth", F.filter("spans", lambda s: s["end"] > F.col("nth"))[0]["shard"].alias("shard"))
-    placed = written(ranked(wished, ["shard"], "doc_id", "place", salts).withColumn("stays", F.col("place") < quota(F.col("shard"), rows, shards)))
+    group, run_of = F.struct("key", "nth"), F.xxhash64("key", F.floor(F.col("nth") / RUN))
+    wished = linked.join(spans, "key").select("doc_id", group.alias("group"), run_of.alias("run"), F.filter("spans", lambda s: s["end"] > F.col("nth"))[0]["shard"].alias("shard"))
+    # what a shard has too much of are whole groups, which move on together
+    placed = written(ranked(wished, ["shard"], "group", "place", salts, by=F.col("run")).withColumn("stays", F.col("place") < quota(F.col("shard"), rows, shards)))
     # the rest fills up: free room by shard as cumulative counts, one row of `shards` numbers
     loads = {r["shard"]: r["n"] for r in placed.filter("stays").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    placed_rows = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     bounds, total = [], 0
     for s in range(shards):
         total += rows // shards + (s < rows % shards) - loads.get(s, 0)
         bounds.append(total)
     stays = placed.filter("stays").select("doc_id", "shard")
-    rest = base.join(copies, "key", "left_anti").select("doc_id").unionByName(placed.filter("NOT stays").select("doc_id"))
-    free = ranked(rest, [], "doc_id", "nth", salts)
+    free = ranked(base.join(copies, "key", "left_anti").select("doc_id"), [], "doc_id", "nth", salts).select("doc_id", "nth")
+    over = sum(placed_rows.values()) - sum(loads.values())
+    if over:
+        begin = total - sum(hot.values()) - over
+        free = free.unionByName(ranked(placed.filter("NOT stays"), [], "group", "at", salts, by=F.col("run")).select("doc_id", (begin + F.col("at")).alias("nth")))
+    if hot:
+        begin, offsets = total - sum(hot.values()), []
+        for key, n in sorted(hot.items()):
+            offsets.append((key, begin))
+            begin += n
+        runs = F.broadcast(base.sparkSession.createDataFrame(offsets, "key binary, begin long"))
+        own = ranked(base.join(runs, "key").select("doc_id", "key", "begin"), ["key"], "doc_id", "at", salts)
+        free = free.unionByName(own.select("doc_id", (F.col("begin") + F.col("at")).alias("nth")))
     filled = free.select("doc_id", F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("nth"))).alias("shard"))
     assigned = stays.unionByName(filled)
     full = base.drop("key").join(assigned, "doc_id")
