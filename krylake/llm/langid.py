@@ -170,7 +170,7 @@ def identify(docs: DataFrame, per_language: int = 300) -> DataFrame:
 
 
 def annotate(docs: DataFrame, per_language: int = 300) -> DataFrame:
-    """`docs` with _held_out, _lang_pred and _score added."""
+    """`docs` with _held_out, _lang_pred, _score and _letters (whether the text has a letter) added."""
     rows = sampled(trainable(docs.select("doc_id", "text", "lang"), "lang"), "lang", per_language)
     model = fit([lowered(r["text"]) for r in rows], [r["lang"] for r in rows])
     t = tables(model) if model else None
@@ -178,11 +178,11 @@ def annotate(docs: DataFrame, per_language: int = 300) -> DataFrame:
     def answer():
         def found(ids, texts):
             got = predict(t, texts)
-            return [held_out(i) for i in ids], [x for x, _ in got], [x for _, x in got]
+            return [held_out(i) for i in ids], [x for x, _ in got], [x for _, x in got], [bool(s and LETTER.search(s)) for s in texts]
 
         return found
 
-    return annotated(docs.drop(*[c for c in docs.columns if c in ("_held_out", "_lang_pred", "_score")]), "_held_out boolean, _lang_pred string, _score double", answer)
+    return annotated(docs.drop(*[c for c in docs.columns if c in ("_held_out", "_lang_pred", "_score", "_letters")]), "_held_out boolean, _lang_pred string, _score double, _letters boolean", answer)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

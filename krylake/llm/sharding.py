@@ -97,11 +97,10 @@ def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 8) -> DataFrame:
     filled = free.select("doc_id", F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("nth"))).alias("shard"))
     assigned = stays.unionByName(filled)
     full = base.drop("key").join(assigned, "doc_id")
-    if base.select("doc_id").distinct().count() < rows:  # repeated ids: pair them off by their order
-        pairing = Window.partitionBy("doc_id").orderBy("x")
-        left = base.drop("key").withColumn("x", F.xxhash64("size", "text_crc32")).withColumn("_n", F.row_number().over(pairing)).drop("x").withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-        right = assigned.withColumn("x", F.col("shard")).withColumn("_n", F.row_number().over(pairing)).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), "_n", "shard")
-        full = left.join(right, ["_id", "_n"]).drop("_id", "_n")
+    if base.agg(F.count_distinct("doc_id")).first()[0] < rows:  # null or repeated ids: pair them off by their order
+        left = ranked(base.drop("key").withColumn("_x", F.xxhash64("size", "text_crc32")), ["doc_id"], "_x", "_n", salts).drop("_x")
+        right = ranked(assigned, ["doc_id"], "shard", "_n", salts).select(F.col("doc_id").alias("_id"), F.col("_n").alias("_m"), "shard")
+        full = left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m"))).drop("_id", "_n", "_m")
     out = ranked(written(full), ["shard"], "doc_id", "slot", salts)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

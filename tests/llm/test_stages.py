@@ -1,10 +1,12 @@
 """The pipeline's stages on planted rows."""
 
+import zlib
+
 import numpy as np
 import pytest
 
 import corpus_pipeline as c
-from krylake.llm import similarity
+from krylake.llm import sharding, similarity
 from krylake.llm.common import written
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,3 +57,20 @@ def test_near_stage_finds_every_copy(spark, small):
     got = {r["node"]: r["component"] for r in similarity.near_copies(rows, small=small).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == group.tolist()
     assert c.near_stage(spark, written(docs.limit(0)), "").count() == 0
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rows = [(None, f"text number {i}") for i in range(6)] + [(5, "some words"), (5, "other words"), (7, "Some words"), (None, "text NUMBER 0"), (8, "12 34"), (9, None)]
+    docs = written(spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DDL))
+    lettered = written(c.language_stage(spark, docs, ""))
+    assert sorted(r["text"] for r in lettered.collect()) == sorted(t for _, t in rows if t and t != "12 34")
+    got = sorted((r["text"].lower(), r["doc_id"] or 0) for r in c.exact_stage(spark, lettered, "").collect())
+    assert got == sorted([(f"text number {i}", 0) for i in range(6)] + [("some words", 7), ("other words", 5)])
+
+
+@pytest.mark.parametrize("nulls", [1, 2])
+def test_sharding_keeps_rows_without_id(spark, nulls):
+    rows = [(None if i < nulls else i, f"t{i}") for i in range(30)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 30 and sum(r["doc_id"] is None for r in got) == nulls
+    assert {r["text_crc32"] for r in got} == {zlib.crc32(t.encode()) for _, t in rows}
