@@ -2,11 +2,13 @@
 
 Equal vectors of a label are one node with a multiplicity. The nodes of a label are dealt to shards
 of bounded size, each with a hierarchical small-world graph. Every node queries every shard of its
-label in blocks of bounded size; beams widen until an audit against a full scan finds the wanted
-recall, and for a query alone while its whole beam still lies within the radius. Cosines are verified
+label in blocks of bounded size; beams widen until an audit against full scans finds the wanted
+recall over all shards of a label together, and for a query alone while its whole beam still lies within the radius. Cosines are verified
 in double precision. A block hands on counts and a spanning forest of its links, never all pairs.
 """
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +22,7 @@ COSINE = 0.98
 SHARD, BLOCK = 2048, 8192  # nodes of a graph, queries of a block
 LINKS, BEAM, BATCH = 12, 32, 256  # links a node chooses, smallest beam, nodes or queries searched at once
 RECALL = 0.99  # that audits ask for
+AUDITED, TRUTH, BEAMS = 64, 100, 16  # queries of a label audited at first (16 times as many in each further round), links that an audit must see, widths of beams that are tried
 VECTORS = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("vec", pa.binary())])
 
 
@@ -154,26 +157,56 @@ def build(v: np.ndarray, seeds: np.ndarray) -> Graph:
     return out
 
 
-def found(g: Graph, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query, node) pairs with a cosine of COSINE at least, and the recall of the last audit."""
-    n, beam = len(g.v), BEAM
-    audited = np.unique(np.linspace(0, len(q) - 1, min(len(q), 64)).astype(int))
-    truth = q[audited] @ g.v.T >= COSINE
+def audited(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    """For audited queries and a shard: the links other than with themselves that a full scan finds, and those that each beam finds."""
+    if queries.empty or own.empty:
+        return pd.DataFrame({"label": [], "dim": [], "beam": [], "hit": [], "truth": []}).astype("int64")
+    g, ids, _ = shard_of(own.iloc[0])
+    reps, out, first = queries["rep"].to_numpy(np.int64), Counter(), own.iloc[0]
+    sizes = [BEAM << i for i in range(max(1, int(np.ceil(np.log2(max(2, len(ids)) / BEAM))) + 1))]
+    for at in range(0, len(reps), BATCH):
+        q = unit(queries["vec"].iloc[at : at + BATCH].tolist())
+        truth = (q @ g.v.T >= COSINE) & (reps[at : at + BATCH, None] != ids)
+        some = np.flatnonzero(truth.any(axis=1))
+        for beam in sizes if len(some) else []:
+            (a, b), _ = beams(g, q[some], beam)
+            hit = int(truth[some][a, b].sum())
+            out[beam] += hit
+        out[0] += int(truth.sum())
+    most = out[sizes[-1]]  # wider beams than this shard has nodes find what the widest finds
+    rows = [(beam, out[beam] if beam in sizes else most, out[0]) for beam in (BEAM << i for i in range(BEAMS))]
+    return pd.DataFrame(rows, columns=["beam", "hit", "truth"]).assign(label=first.label, dim=first.dim)[["label", "dim", "beam", "hit", "truth"]]
+
+
+def audit(dealt: DataFrame, built: DataFrame) -> DataFrame:
+    """(label, dim, beam, recall, truth): the smallest beam whose recall over all shards of a label together reaches RECALL.
+
+    Queries are drawn until a label has shown TRUTH links, at last all its nodes: then the scan was full, and a label
+    without a link has recall 1 by that. Raises if the widest beam misses the recall.
+    """
+    keys, most = ["label", "dim", "shard"], AUDITED
+    sizes = dealt.groupBy("label", "dim").agg(F.count("*").alias("size"))
+    largest = sizes.agg(F.max("size")).first()[0] or 0
+    left, done = dealt, None
     while True:
-        pairs, recall = beams(g, q, beam)
-        if not truth.sum():
-            return *pairs, 1.0
-        got = np.zeros((len(q), n), bool) if len(q) * n <= 1 << 26 else None
-        if got is not None:
-            got[pairs] = True
-            hit = (got[audited] & truth).sum()
-        else:
-            keep = np.isin(pairs[0], audited)
-            hit = truth[np.searchsorted(audited, pairs[0][keep]), pairs[1][keep]].sum()
-        recall = hit / truth.sum()
-        if recall >= RECALL or beam >= n:
-            return *pairs, float(recall)
-        beam *= 2
+        chance = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)) < F.lit((most + 6 * most**0.5 + 10) * (1 << 30)) / F.col("size")
+        own = left.join(sizes, ["label", "dim"]).filter(chance).select("label", "dim", "rep", "vec", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        got = own.groupBy(*keys).cogroup(built.groupBy(*keys)).applyInPandas(audited, "label long, dim int, beam long, hit long, truth long")
+        got = got.groupBy("label", "dim", "beam").agg(F.sum("hit").alias("hit"), F.sum("truth").alias("truth"))
+        best = got.withColumn("recall", F.when(F.col("truth") == 0, 1.0).otherwise(F.col("hit") / F.col("truth"))).groupBy("label", "dim").agg(
+            F.min(F.when(F.col("recall") >= RECALL, F.struct("beam", "recall"))).alias("b"), F.max("truth").alias("truth")
+        )
+        best = written(best.select("label", "dim", "b.beam", "b.recall", "truth"))
+        if not best.filter("beam IS NULL").isEmpty():
+            raise RuntimeError("the widest beam misses the recall")
+        settled = best.join(sizes, ["label", "dim"]).filter((F.col("truth") >= TRUTH) | (F.col("size") <= most)).drop("size")
+        done = settled if done is None else done.unionByName(settled)
+        if most >= largest:
+            return written(done)
+        left = left.join(settled.select("label", "dim"), ["label", "dim"], "left_anti")
+        if left.isEmpty():
+            return written(done)
+        most *= 16
 
 
 def beams(g: Graph, q: np.ndarray, beam: int) -> tuple[tuple[np.ndarray, np.ndarray], None]:
@@ -226,18 +259,22 @@ def graphs(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("label", "dim", "shard").applyInPandas(run, "label long, dim int, shard int, ids binary, mult binary, vecs binary, links binary, levels int, entry int")
 
 
-def answers(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-    """For a block of queries and a shard: links by query (a, n) and edges (a, b) of a spanning forest."""
-    columns = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "recall": np.zeros(0)}
-    if queries.empty or own.empty:
-        return pd.DataFrame(columns)
-    s = own.iloc[0]
+def shard_of(s) -> tuple[Graph, np.ndarray, np.ndarray]:
+    """Graph, ids and multiplicities of a row that graphs() made."""
     ids, mult = np.frombuffer(s.ids, np.int64), np.frombuffer(s.mult, np.int64)
     n, size = len(ids), len(s.links) // (s.levels * len(ids) * 2 * LINKS)
     g = Graph(unit([s.vecs[i * len(s.vecs) // n : (i + 1) * len(s.vecs) // n] for i in range(n)]), list(np.frombuffer(s.links, np.int16 if size == 2 else np.int32).reshape(s.levels, n, 2 * LINKS).astype(np.int64)))
     g.entry = int(s.entry)
+    return g, ids, mult
+
+
+def answers(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    """For a block of queries and a shard: links by query (a, n) and edges (a, b) of a spanning forest."""
+    if queries.empty or own.empty:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    g, ids, mult = shard_of(own.iloc[0])
     reps = queries["rep"].to_numpy(np.int64)
-    a, b, recall = found(g, unit(queries["vec"].tolist()))
+    (a, b), _ = beams(g, unit(queries["vec"].tolist()), int(own["beam"].iloc[0]))
     other = reps[a] != ids[b]
     a, b = a[other], b[other]
     links = np.bincount(a, mult[b], minlength=len(reps)).astype(np.int64)
@@ -245,8 +282,8 @@ def answers(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
     label = joined(len(names), np.searchsorted(names, reps[a]), np.searchsorted(names, ids[b])) if len(names) else np.zeros(0, int)
     moved = np.flatnonzero(label != np.arange(len(names)))
     some = np.flatnonzero(links)
-    edges = pd.DataFrame({"a": names[moved], "b": names[label[moved]], "n": 0, "recall": recall})
-    return pd.concat([edges, pd.DataFrame({"a": reps[some], "b": reps[some], "n": links[some], "recall": recall})])
+    edges = pd.DataFrame({"a": names[moved], "b": names[label[moved]], "n": 0})
+    return pd.concat([edges, pd.DataFrame({"a": reps[some], "b": reps[some], "n": links[some]})])
 
 
 def near_vectors(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -263,10 +300,10 @@ def near_vectors(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK) ->
     dealt = nodes.join(sizes.drop("size"), ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
     dealt = written(dealt)
     built = written(graphs(dealt.select("label", "dim", "shard", "rep", "mult", "vec")))
-    meet = built.join(sizes.select("label", "dim", "blocks"), ["label", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = built.join(F.broadcast(audit(dealt, built).select("label", "dim", "beam")), ["label", "dim"]).join(sizes.select("label", "dim", "blocks"), ["label", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = dealt.select("label", "dim", "block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "rep", "vec")
     keys = ["label", "dim", "shard", "block"]
-    out = written(asked.groupBy(*keys).cogroup(meet.groupBy(*keys)).applyInPandas(answers, "a long, b long, n long, recall double"))
+    out = written(asked.groupBy(*keys).cogroup(meet.groupBy(*keys)).applyInPandas(answers, "a long, b long, n long"))
     counts = out.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = components(out.filter("a <> b").select("a", "b"))
     told = nodes.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("label", "vec", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
