@@ -116,11 +116,11 @@ def probes(keys: np.ndarray, level: int, size: np.ndarray | int):
 
 
 def bloom(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Filter over (key, 1..level) with level = floor(log2 count): only counts of two and more have one."""
+    """Filter over (key, 0..level) with level = floor(log2 count): counts of one have level 0."""
     levels = np.floor(np.log2(counts)).astype(int)
-    size = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
+    size = max(64, -(-int((levels + 1).sum()) * BITS // 64) * 64)
     bits = np.zeros(size, np.uint8)
-    for level in range(1, int(levels.max(initial=0)) + 1):
+    for level in range(int(levels.max(initial=-1)) + 1):
         found = probes(keys[levels >= level], level, size)
         at, left = next(found)
         try:
@@ -144,7 +144,7 @@ class Filters:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         short = ((keys << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint64)
-        out, left, level = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 1
+        out, left, level = np.full(len(keys), -1, np.int8), np.arange(len(keys)), 0  # -1: not in the filter
         while len(left) and level < 64:
             found = probes(short[left], level, self.size[bucket[left]])
             at, own = next(found)
@@ -181,8 +181,7 @@ def merged(count_blocks: DataFrame) -> DataFrame:
         total = int(n.sum())
         if kind == 1:
             return pd.DataFrame({"kind": [1], "bucket": [bucket], "keys": [k.tobytes()], "counts": [n.tobytes()], "kinds": [len(k)], "total": [total]})
-        often = n >= 2
-        return pd.DataFrame({"kind": [2], "bucket": [bucket], "keys": [bloom(k[often], n[often])], "counts": [b""], "kinds": [len(k)], "total": [total]})
+        return pd.DataFrame({"kind": [2], "bucket": [bucket], "keys": [bloom(k, n)], "counts": [b""], "kinds": [len(k)], "total": [total]})
 
     return count_blocks.groupBy("kind", "bucket").applyInPandas(run, f"{BLOCKS_DDL}, kinds long, total long")
 
@@ -190,7 +189,7 @@ def merged(count_blocks: DataFrame) -> DataFrame:
 def scored(c: np.ndarray, before: np.ndarray, levels: np.ndarray, total: int, kinds: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the base and the model's probability of tokens; c, before: exact counts of each and of its context; levels of its n-gram."""
     base = (c + 1) / (total + kinds + 1)
-    seen = np.where((levels > 0) & (before > 0), np.minimum(1.0, np.exp2(levels.astype(float)) / np.maximum(before, 1)), 0.0)
+    seen = np.where((levels >= 0) & (before > 0), np.minimum(1.0, np.exp2(levels.astype(float)) / np.maximum(before, 1)), 0.0)
     return np.log10(base), np.log10((1 - weight) * base + weight * seen)
 
 
@@ -203,7 +202,7 @@ def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BRO
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs` (doc_id, text; others are ignored).
 
     Bigrams: log10 of (1 - weight) * (c(w) + 1) / (N + V + 1) + weight * count(v w) / c(v), where the
-    filter's count is the power of two at or below the true one (0 for counts of one), so that the
+    filter's count is the power of two at or below the true one (1 for counts of one), so that the
     probabilities of a context sum to at most one. Null and empty texts consist of the end alone.
     Rows without doc_id are learned from. With nothing to learn from, N = V = 0 and all scores are 0
     or the weight's share of it. Rows that repeat count each time.
@@ -233,7 +232,7 @@ def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BRO
             if own.empty:
                 got = np.zeros(len(keys), np.int64)
             elif q.kind == 2:
-                got = Filters({q.bucket: own["keys"].iloc[0]}, bits).levels(keys).astype(np.int64)
+                got = Filters({q.bucket: own["keys"].iloc[0]}, bits).levels(keys).astype(np.int64) + 1
             else:
                 known, counts = np.frombuffer(own["keys"].iloc[0], np.uint64), np.frombuffer(own["counts"].iloc[0], np.int64)
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -257,7 +256,7 @@ def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BRO
                 held["filter"] = Filters(filters.value, bits)
             level = held["filter"].levels(pairs)
         else:
-            level = levels[np.unique(pairs, return_inverse=True)[1]]
+            level = levels[np.unique(pairs, return_inverse=True)[1]] - 1
         starts = np.cumsum(lengths) - lengths
         before = np.append(0, c[:-1])
         before[starts] = trained
