@@ -1,34 +1,41 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A word is a run of spaces with the signs up to the next space, which no piece crosses. Every distinct
-word of a chunk of documents is exploded into its substrings up to the longest piece's length; an
-equi-join with the piece table leaves the lattice's edges; they are grouped by word and a higher-order
-aggregate folds Viterbi over the positions: fewest pieces first, then the greatest sum of scores.
-Signs that no piece covers become byte pieces. A chunk is one key from the shuffle of its texts on, so
-nothing but the texts is shuffled.
-
-The model's scores are ranks of merges, not probabilities, and greedy merging sometimes differs from
-the best path. So an exact check follows: a word whose path isn't what the model's own encoder gives
-takes that encoding instead, and the result says how many pieces did.
+A piece vocabulary with merge ranks encodes by merging the best-ranked neighbours again and again. The
+result is also the one path of the lattice of pieces on which no two neighbours would have merged across
+their border: so Viterbi finds it, with costs of nothing or infinity between neighbours, in one pass over
+the ends of edges. Two neighbours would have merged across their border if, while both still are a part of
+each (on the right spine of the left one's merges, on the left spine of the right one's), the two parts
+together are a piece of a better rank than what either part merges into within its own. Ties go to the left.
+
+Texts are cut into runs, between signs that no piece has side by side. Every distinct run of the corpus is
+exploded into its substrings up to the longest piece's length; an equi-join with the piece table leaves the
+edges; they are grouped by run, and a higher-order aggregate folds the path. Signs that no piece covers
+become byte pieces. Texts stay in packed chunks, which ask buckets of runs once for all their runs.
 """
 
 import functools
 import re
+import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from krylake.llm.common import table
+from krylake.llm.common import table, written
 
 SPACE = "▁"
-WORDS = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-SEGMENT = 64  # signs of a word that one lattice spans; longer words are cut into such segments
-CHUNK_ROWS, CHUNK_BYTES = 8192, 16 << 20
-MANY = 1e10  # costs as much as no path's scores can: fewest pieces come first
-ID_MASK, BYTES = (1 << 40) - 1, (1 << 40) - 1
-ENCODED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_checked", pa.int64()), ("ids", pa.list_(pa.int32()))])
+WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+CHUNK_ROWS, CHUNK_BYTES = 16384, 8 << 20
+RUNS = 8192  # runs of a lattice's partition, about: their edges are sorted in memory
+BLOCK = 256  # signs that the inner fold takes at once: arrays are copied when they grow
+NEVER = (1 << 20) - 1  # later than any rank
+PACKED, PACKED_DDL = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())]), "chunk long, blob binary"
+ASKED, ASKED_DDL = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("runs", pa.binary())]), "chunk long, bucket int, runs binary"
+TOLD, TOLD_DDL = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())]), "chunk long, bucket int, ids binary"
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 @functools.cache
@@ -38,85 +45,249 @@ def processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def piece_rows(path: str) -> list[tuple[str, int, float]]:
-    """(piece, id, score) of the pieces that match text."""
+@functools.cache
+def piece_rows(path: str) -> list[tuple[str, int, int]]:
+    """(piece, id, rank) of the pieces that match text: 0 for single signs, the best score of the others 1."""
     sp = processor(path)
-    return [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    own = [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    rank = {s: k + 1 for k, s in enumerate(sorted({s for p, _, s in own if len(p) > 1}, reverse=True))}
+    return [(p, i, rank[s] if len(p) > 1 else 0) for p, i, s in own]
 
 
-def lattice(words: DataFrame, path: str) -> DataFrame:
-    """words (chunk, word, some): adds ids, the best path's pieces. The piece table is a fixed vocabulary and broadcast.
+def tree(piece: str, ranks: dict[str, int]) -> tuple | None:
+    """(text, time it is formed, parts) by the merges of a piece's own signs; None if they don't end in the piece. A time is the worst rank so far."""
+    parts: list[tuple] = [(c, 0, None) for c in piece]
+    while len(parts) > 1:
+        best = min(((ranks[a[0] + b[0]], k) for k, (a, b) in enumerate(pairwise(parts)) if a[0] + b[0] in ranks), default=None)
+        if best is None:
+            return None
+        a, b = parts[best[1] : best[1] + 2]
+        parts[best[1] : best[1] + 2] = [(a[0] + b[0], max(best[0], a[1], b[1]), (a, b))]
+    return parts[0]
 
-    An edge is one long, end << 52 | start << 40 | id, so that edges sort by their end; a sign without
-    a piece has an edge with the id BYTES. The fold keeps the best cost and last edge of each position.
-    """
+
+@functools.cache
+def piece_table(path: str) -> list[tuple]:
+    """(piece, id, rank, left, right). left: parts at the piece's start, their signs, when formed and until when they last;
+    right: parts at its end by their signs, formed << 20 | until, 0 for none."""
     rows = piece_rows(path)
-    longest = max(len(p) for p, _, _ in rows)
-    first_byte = processor(path).piece_to_id("<0x00>")
-    pieces = F.broadcast(words.sparkSession.createDataFrame([(p, i, MANY - s) for p, i, s in rows], "piece string, id long, cost double"))
-    starts = words.select("chunk", "word", "some", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select("chunk", "word", "some", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("len"))
-    parts = spans.select("chunk", "word", "some", "start", "len", F.col("word").substr(F.col("start") + 1, F.col("len")).alias("piece"))
-    edges = parts.join(pieces, "piece", "left").filter("id IS NOT NULL OR len = 1")
-    packed = F.expr(f"shiftleft(cast(start + len AS long), 52) | shiftleft(cast(start AS long), 40) | coalesce(id, {BYTES})")
-    grouped = edges.groupBy("chunk", "word").agg(F.sort_array(F.collect_list(F.struct(packed.alias("edge"), F.coalesce("cost", F.lit(100 * MANY)).alias("cost")))).alias("edges"), F.min("some").alias("some"))
-
-    def step(best, e):
-        start = F.shiftright(e["edge"], 40).bitwiseAND(F.lit(0xFFF)).cast("int")
-        new = F.struct((best[start]["cost"] + e["cost"]).alias("cost"), e["edge"].alias("edge"))
-        first = F.shiftright(e["edge"], 52) == F.size(best)  # the first edge that ends here
-        better = best[start]["cost"] + e["cost"] < F.element_at(best, -1)["cost"]
-        return F.when(first, F.concat(best, F.array(new))).when(better, F.concat(F.slice(best, F.lit(1), F.size(best) - 1), F.array(new))).otherwise(best)
-
-    def back(path_, _):  # from the last edge to the first
-        at = F.when(F.size(path_) == 0, F.size("best") - 1).otherwise(F.shiftright(path_[0], 40).bitwiseAND(F.lit(0xFFF)).cast("int"))
-        return F.when(at > 0, F.concat(F.array(F.col("best")[at]["edge"]), path_)).otherwise(path_)
-
-    folded = grouped.select("chunk", "word", "some", F.aggregate("edges", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("edge"))), step).alias("best"))
-    paths = folded.select("chunk", "word", "some", F.aggregate(F.slice("best", F.lit(2), F.size("best")), F.array().cast("array<long>"), back).alias("path"))
+    ranks, out = {p: r for p, _, r in rows if r}, []
+    for p, i, r in rows:
+        left, right = [], [0] * len(p)
+        whole = tree(p, ranks)
+        for side in (0, 1):
+            node, until = whole, NEVER
+            while node:
+                if side:
+                    right[len(node[0]) - 1] = node[1] << 20 | until
+                else:
+                    left.append((len(node[0]), node[1], until))
+                until, node = node[1], node[2] and node[2][side]
+        out.append((p, i, r, left, right))
+    return out
+
+
+@functools.cache
+def neighbours(path: str) -> frozenset[tuple[str, str]]:
+    """Signs that some piece has side by side."""
+    return frozenset(x for p, _, _ in piece_rows(path) for x in pairwise(p))
+
+
+def units(text: str) -> list[str]:
+    """A text's parts before spaces: spaces as their sign, with what follows them; no piece goes on after them."""
+    if not text:
+        return []
+    if "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
+        return [SPACE + w for w in text.split(" ")]
+    return WORDS.findall(SPACE + text.replace(" ", SPACE))
+
+
+def runs(unit: str, beside: frozenset) -> list[str]:
+    """A unit's parts between signs that no piece has side by side."""
+    cuts = [i for i, x in enumerate(pairwise(unit), 1) if x not in beside]
+    return [unit[a:b] for a, b in pairwise([0, *cuts, len(unit)])] if cuts else [unit]
+
+
+def let(value: Column, use) -> Column:
+    """use(value), the value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def lattice(rows: DataFrame, path: str) -> DataFrame:
+    """rows (run: each once, not empty): adds the ids of its path. The piece table is a fixed vocabulary and broadcast."""
+    known = piece_table(path)
+    longest, first_byte = max(len(r[0]) for r in known), processor(path).piece_to_id("<0x00>")
+    part = "struct<n: int, formed: int, until: int>"
+    pieces = F.broadcast(rows.sparkSession.createDataFrame(known, f"piece string, id int, rank int, left array<{part}>, right array<long>"))
+    ends = rows.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("end"))
+    spans = ends.select("run", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("end")))).alias("len"))
+    found = spans.withColumn("piece", F.col("run").substr(F.col("end") - F.col("len") + 1, F.col("len"))).join(pieces, "piece", "left").filter("id IS NOT NULL OR len = 1")
+    # a sign without a piece: id -1, never merged
+    left = F.coalesce("left", F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("formed"), F.lit(NEVER).alias("until"))))
+    edge = F.struct((F.col("end") - F.col("len")).alias("start"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("rank", F.lit(0)).alias("rank"), left.alias("left"), F.coalesce("right", F.array(F.lit(NEVER).cast("long"))).alias("right"))
+    by_end = found.groupBy("run", "end").agg(F.collect_list(edge).alias("edges"))
+    grouped = by_end.groupBy("run").agg(F.transform(F.sort_array(F.collect_list(F.struct("end", "edges"))), lambda x: x["edges"]).alias("ends"))
+
+    def crossed(right: Column, e: Column) -> Column:
+        """Whether a part of the edge before and one of this edge would have merged across the start of this edge."""
+        p = e["start"]
+
+        def merges(l, c, r):
+            at = F.greatest(c["rank"], F.shiftright(r, 20).cast("int"), l["formed"])
+            return (at <= l["until"]) & (at < r.bitwiseAND(F.lit(NEVER)).cast("int"))
+
+        own = lambda l: F.exists(F.col("ends")[p + l["n"] - 1], lambda c: F.when(c["start"] < p, F.coalesce(merges(l, c, F.get(right, p - c["start"] - 1)), F.lit(False))).otherwise(False))
+        return F.exists(e["left"], own)
+
+    def step(s, edges):
+        """One end: the only edge that its predecessor's best edge can be followed by. `last` are the best edges of the ends before, as far as a piece reaches."""
+        good = F.filter(edges, lambda e: F.when(e["start"] == 0, True).otherwise(~crossed(F.element_at(s["last"], e["start"] - s["at"] - 1)["right"], e)))
+        packed = lambda e: F.shiftleft(e["start"].cast("long"), 20).bitwiseOR((e["id"] + 1).cast("long"))
+        before = F.when(F.size(s["last"]) < longest, s["last"]).otherwise(F.slice(s["last"], 2, longest))
+        return let(good[0], lambda e: F.struct((s["at"] + 1).alias("at"), F.concat(before, F.array(F.struct(packed(e).alias("edge"), e["right"].alias("right")))).alias("last"), F.concat(s["own"], F.array(packed(e))).alias("own")))
+
+    def block(s, k):
+        inner = F.aggregate(F.slice("ends", k * BLOCK + 1, F.lit(BLOCK)), F.struct(s["at"].alias("at"), s["last"].alias("last"), F.array().cast("array<long>").alias("own")), step)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), r["last"].alias("last"), F.concat(s["out"], F.array(r["own"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<edge: long, right: array<long>>>").alias("last"), F.array().cast("array<array<long>>").alias("out"))
+    folded = grouped.select("run", F.aggregate(F.sequence(F.lit(0), F.floor((F.size("ends") - 1) / BLOCK).cast("int")), start, block)["out"].alias("out"))
+
+    def back(s, e):  # from the last end to the first; `end` is where the next edge of the path ends
+        here = s["at"] == s["end"]
+        return F.struct((s["at"] - 1).alias("at"), F.when(here, F.shiftright(e, 20).cast("int")).otherwise(s["end"]).alias("end"), F.when(here, F.concat(F.array(e), s["own"])).otherwise(s["own"]).alias("own"))
+
+    def back_block(s, b):
+        inner = F.aggregate(F.reverse(b), F.struct(s["at"].alias("at"), s["end"].alias("end"), F.array().cast("array<long>").alias("own")), back)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), r["end"].alias("end"), F.concat(F.array(r["own"]), s["out"]).alias("out")))
+
+    n = F.length("run")
+    paths = folded.select("run", F.flatten(F.aggregate(F.reverse("out"), F.struct(n.alias("at"), n.alias("end"), F.array().cast("array<array<long>>").alias("out")), back_block)["out"]).alias("path"))
 
     def ids_of(e):
-        hexed = F.hex(F.col("word").substr(F.shiftright(e, 40).bitwiseAND(F.lit(0xFFF)).cast("int") + 1, F.lit(1)))
+        i = e.bitwiseAND(F.lit(NEVER)).cast("int")
+        hexed = F.hex(F.col("run").substr(F.shiftright(e, 20).cast("int") + 1, F.lit(1)))
         as_bytes = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda k: F.conv(F.substring(hexed, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
-        return F.when(e.bitwiseAND(F.lit(ID_MASK)) == BYTES, as_bytes).otherwise(F.array(e.bitwiseAND(F.lit(ID_MASK)).cast("int")))
+        return F.when(i == 0, as_bytes).otherwise(F.array(i - 1))
+
+    return paths.select("run", F.flatten(F.transform("path", ids_of)).alias("ids"))
+
+
+def squeezed(values: list[bytes]) -> bytes:
+    """Byte strings as one: their number, lengths, then the bytes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(3).compress(np.array([len(values), *map(len, values)], "<u4").tobytes() + b"".join(values))
+
+
+def loosed(blob: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    at = [4 * n + 4, *(np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 * n + 4).tolist()]
+    return [raw[a:b] for a, b in pairwise(at)]
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(chunk, blob): the rows (doc_id, text) of a task in compressed chunks of bounded size; a longer text is a chunk of its own."""
+    import pyarrow.compute as pc
+
+    def run(batches):
+        held, rows, size, k = [], 0, 0, 0
 
-    return paths.select("chunk", "word", "some", F.flatten(F.transform("path", ids_of)).alias("ids"))
+        def blob():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
+
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = 0
+            while at < b.num_rows:
+                room = np.searchsorted(np.cumsum(sizes[at:]), CHUNK_BYTES - size, "right")
+                n = int(min(max(room, not rows), CHUNK_ROWS - rows, b.num_rows - at))
+                if n:
+                    held.append(b.slice(at, n))
+                    rows, size, at = rows + n, size + int(sizes[at : at + n].sum()), at + n
+                if at < b.num_rows or rows >= CHUNK_ROWS or size >= CHUNK_BYTES:
+                    yield blob()
+                    held, rows, size, k = [], 0, 0, k + 1
+        if held:
+            yield blob()
+
+    return docs.mapInArrow(run, PACKED_DDL)
+
+
+def opened(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def by_bucket(texts: list[str | None], beside: frozenset, buckets: int) -> tuple[dict[int, list[bytes]], dict[str, list[str]]]:
+    """The texts' distinct runs by bucket, sorted, and the runs of each of their distinct units."""
+    own: dict[str, list[str]] = {}
+    for t in texts:
+        for u in set(units(t or "")).difference(own):
+            own[u] = runs(u, beside)
+    out: dict[int, list[bytes]] = {}
+    for r in sorted({r.encode() for rs in own.values() for r in rs}):
+        out.setdefault(zlib.crc32(r) % buckets, []).append(r)
+    return out, own
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, n_checked, ids for each row of `docs` (doc_id, text; others are ignored).
+    """doc_id, n_pieces, ids for each row of `docs` (doc_id, text; others are ignored): those of the model's own encoder, for runs of any length.
 
-    ids are those of the model's own encoder, but for words of over 64 signs without a space, which are
-    encoded in segments. n_checked: pieces of words whose best path the check replaced. Null and empty
-    texts have no pieces. Rows that repeat each get a row.
+    docs is read twice and has to give its rows in the same order: a scan or a written table. Null and empty
+    texts have no pieces, and a text's own spacing sign is a space. Rows that repeat each get a row. No rows give none. A run without a
+    place where no piece can go on (letters without a space, say) is one row of the fold: some 300 bytes a sign.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     chunks = max(1, -(-rows // CHUNK_ROWS), -(-size // CHUNK_BYTES))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(chunks)).cast("int")).repartition("chunk")
-    marked = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    # a doc_id goes along, so that both uses of the dealt texts read the same columns and the shuffle is done once
-    words = dealt.select("chunk", "doc_id", F.explode(F.regexp_extract_all(marked, F.lit(f"({WORDS})"), 0)).alias("word")).groupBy("chunk", "word").agg(F.min("doc_id").alias("some"))
-    segments = F.when(F.length("word") <= SEGMENT, F.array("word")).otherwise(F.transform(F.sequence(F.lit(0), F.length("word") - 1, F.lit(SEGMENT)), lambda i: F.col("word").substr(i + 1, F.lit(SEGMENT))))
-    cut = words.select("chunk", "some", F.explode(segments).alias("word")).groupBy("chunk", "word").agg(F.min("some").alias("some"))
-    found = lattice(cut, path).select(F.col("chunk").alias("part"), "word", "ids", "some")
-
-    def apply(texts: pa.Table, told: pa.Table) -> pa.Table:
-        sp, known, checked = processor(path), {}, {}
-        for word, ids in zip(told.column("word").to_pylist(), told.column("ids").to_pylist(), strict=True):
-            plain = word.replace(SPACE, " ")
-            exact = [sp.piece_to_id(SPACE)] if word == SPACE else sp.encode(plain[1:]) if word[0] == SPACE else sp.encode(f"\n{plain}")[2:]  # without the space put in front
-            known[word] = np.array(exact, np.int32)
-            checked[word] = len(exact) if exact != ids else 0
-        out = []
-        for doc_id, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
-            ws = [w[i : i + SEGMENT] for w in re.findall(WORDS, SPACE + text.replace(" ", SPACE)) for i in range(0, len(w), SEGMENT)] if text else []
-            ids = np.concatenate([known[w] for w in ws]) if ws else np.zeros(0, np.int32)
-            out.append((doc_id, len(ids), sum(checked[w] for w in ws), ids))
-        columns = list(zip(*out, strict=True)) if out else [()] * 4
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, ENCODED, strict=True)], schema=ENCODED)
-
-    return dealt.groupBy("chunk").cogroup(found.groupBy("part")).applyInArrow(apply, "doc_id long, n_pieces long, n_checked long, ids array<int>")
+    buckets = chunks
+    chunked = packed(docs)
+    beside, width = neighbours(path), 2 if processor(path).get_piece_size() < 1 << 16 else 4  # bytes of an id
+
+    def ask(batches):
+        for b in batches:
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                asked, _ = by_bucket(opened(blob.as_buffer()).column("text").to_pylist(), beside, buckets)
+                if asked:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(asked), pa.int64()), pa.array(list(asked), pa.int32()), pa.array([squeezed(x) for x in asked.values()], pa.binary())], schema=ASKED)
+
+    def distinct(asked: pa.Table) -> pa.Table:
+        return pa.table({"run": pa.array([r.decode() for r in sorted({r for x in asked.column("runs").to_pylist() for r in loosed(x)})], pa.string())})
+
+    def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
+        known = {r.encode(): np.array(i, f"<u{width}").tobytes() for r, i in zip(told.column("run").to_pylist(), told.column("ids").to_pylist(), strict=True)}
+        got = [squeezed([known[r] for r in loosed(x)]) for x in asked.column("runs").to_pylist()]
+        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(got, pa.binary())], schema=TOLD)
+
+    def apply(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return pa.Table.from_batches([], schema=ENCODED)
+        part = opened(chunk.column("blob")[0].as_buffer())
+        texts = part.column("text").to_pylist()
+        asked, own = by_bucket(texts, beside, buckets)
+        known: dict[str, bytes] = {}
+        if set(told.column("bucket").to_pylist()) != set(asked):
+            raise RuntimeError("the rows of docs came in another order than before: encode a written table")
+        for bucket, got in zip(told.column("bucket").to_pylist(), told.column("ids").to_pylist(), strict=True):
+            known.update(zip((r.decode() for r in asked[bucket]), loosed(got), strict=True))
+        of = {u: b"".join(map(known.__getitem__, rs)) for u, rs in own.items()}
+        blobs = [b"".join(map(of.__getitem__, units(t or ""))) for t in texts]
+        n = np.array([len(b) for b in blobs], np.int64) // width
+        ids = np.frombuffer(b"".join(blobs), f"<u{width}").astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids))
+        return pa.table([part.column("doc_id").combine_chunks(), pa.array(n), lists], schema=ENCODED)
+
+    asked = written(chunked.mapInArrow(ask, ASKED_DDL))
+    wanted = written(asked.select("bucket", "runs").groupBy("bucket").applyInArrow(distinct, "run string"))
+    found = written(lattice(wanted.repartition(max(1, -(-wanted.count() // RUNS)), "run"), path))
+    told = asked.groupBy("bucket").cogroup(found.withColumn("own", F.pmod(F.crc32(F.col("run")), F.lit(buckets)).cast("int")).groupBy("own")).applyInArrow(answer, TOLD_DDL)
+    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_pieces long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", name: str = "text") -> DataFrame:
@@ -135,4 +306,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = decode(encode(table(spark, sf_dir, "documents"), path), path, name="decoded")
-    return out.select("doc_id", "n_pieces", "n_checked", "ids", F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32("decoded").alias("decoded_crc32"))
+    return out.select("doc_id", "n_pieces", "ids", F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32("decoded").alias("decoded_crc32"))
