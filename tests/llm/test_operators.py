@@ -243,6 +243,29 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_license_places_and_suppression():
+    """Base places, first and last word, spans and suppression against plain versions."""
+    import time
+
+    rng = np.random.default_rng(6)
+    pool = ["under the mit license", "Apache License, Version 2", "cc by nc", "CC-BY-NC 4.0", "the gnu general public license version 3", "river", "stone", "mit", "license", "under the", "all rights reserved", "permission is hereby granted free of charge to any person obtaining a copy of this software", "é"]
+    for _ in range(60):
+        text = " ".join(rng.choice(pool, int(rng.integers(1, 40))))
+        words = "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in text.lower()).split()
+        at = sorted((i, label) for label, phrase in licenses.BASE for k in [phrase.decode().split()] for i in range(len(words)) if words[i : i + len(k)] == k)
+        n, n_base, first, last, base, labels, score, spans = licenses.scan(text)
+        assert (n, n_base, base) == (len(words), len(at), ",".join(sorted({x for _, x in at})))
+        assert (first, last) == ((at[0][0], at[-1][0]) if at else (None, None)) and 0 <= score <= 1 and set(base.split(",")) - {""} <= set(labels.split(","))
+        plain, kept = (" " + " ".join(words) + " ").encode(), []
+        every = sorted((p, m.start(), m.end(), label) for k, own in licenses.gate().items() if k.decode() in words for p, label, rx, _ in own for m in rx.finditer(plain))
+        for p, a, b, label in dict.fromkeys(every):
+            if not any(x <= a and b <= y for x, y, _ in kept):
+                kept.append((a, b, label))
+        assert spans == sorted((plain[:a].count(b" ") - 1, plain[a:b].count(b" ") + 1, label) for a, b, label in kept)
+    began = time.time()
+    assert licenses.scan("mit license " * 50000)[0] == 100000 and time.time() - began < 5
+
+
 def test_language_id(spark, none):
     words = {"en": "the and with house river stone this that", "fr": "élève château forêt être garçon déjà où très"}
     rng = np.random.default_rng(2)
