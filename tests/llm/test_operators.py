@@ -193,7 +193,7 @@ def test_packing_keeps_proportions():
     seen = np.zeros((5, 0))
     spans = []
     for q in np.flatnonzero(totals):
-        _, _, n, at = packing.cut(totals, np.array([q]), np.array([0]), totals[q : q + 1], 256, 1024)
+        _, _, n, at = packing.cut(totals, totals.astype(float), np.array([q]), np.array([0]), totals[q : q + 1], 256, 1024)
         spans += [(int(a), int(k), q) for a, k in zip(at, n, strict=True)]
     spans.sort()
     assert all(a + k == b for (a, k, _), (b, _, _) in zip(spans, spans[1:], strict=False))
@@ -204,6 +204,29 @@ def test_packing_keeps_proportions():
         assert np.abs(seen).max() <= 2 * 256
 
 
+@pytest.mark.parametrize("sources", [3, 4096])
+def test_packing_reaches_its_targets_in_every_window(spark, sources):
+    """Each window has the targets' shares until a source is used up; then the others share its part."""
+    rows = [(i, "abc"[i % 3] if i % 10 else f"rare{i % 4}", " ".join(f"w{(i * 7 + k) % 90}" for k in range(60))) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    path, targets = public_tokenizers.path("byte_bpe_50k.json"), {"a": 0.6, "b": 0.3}
+    got = packing.pack(d, path, window=2048, quantum=64, targets=targets, sources=sources).join(d.select("doc_id", "source"), "doc_id")
+    rows = got.groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).collect()
+    total = Counter()
+    for r in rows:
+        total[r["source"]] += r["n"]
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], Counter())[r["source"]] += r["n"]
+    left = dict(total)
+    for s in sorted(by):
+        if all(left[x] > 0.6 * 2048 + 256 for x in "ab") and left["c"] > 512:
+            assert abs(by[s]["a"] / 2048 - 0.6) <= 0.1 and abs(by[s]["b"] / 2048 - 0.3) <= 0.1
+        for x in by[s]:
+            left[x] -= by[s][x]
+    assert not any(left.values()) and all(sum(c.values()) == 2048 for s, c in by.items() if s < max(by))
+
+
 def test_special_token_in_a_text():
     from tokenizers import Tokenizer
 
