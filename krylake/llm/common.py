@@ -28,9 +28,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), one of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset on one machine (tests), one of our own. A cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="krylake-")
@@ -55,6 +57,19 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def hot_keys(rows: DataFrame, key: str, most: int = 1024) -> DataFrame:
+    """The keys with more than 1/most of all rows: fewer than `most`, whatever the table's size."""
+    total = rows.count()
+    return written(rows.groupBy(key).agg(F.count("*").alias("_c")).filter(F.col("_c") * most > total).select(key))
+
+
+def split_join(rows: DataFrame, groups: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with groups (a row a key at most): those of the keys `hot` by a broadcast, which spreads their rows over all tasks, the others by a shuffle."""
+    few = F.broadcast(hot)
+    own = F.broadcast(groups.join(few, key, "left_semi"))
+    return rows.join(few, key, "left_semi").join(own, key, how).unionByName(rows.join(few, key, "left_anti").join(groups.join(few, key, "left_anti"), key, how))
+
+
 def ranked(df: DataFrame, keys: list[str], order: str, name: str, salts: int = 64, weight: str | None = None, by: Column | None = None) -> DataFrame:
     """Adds the rank (from 0) of each row within `keys`, or the sum of `weight` over the rows before it.
 

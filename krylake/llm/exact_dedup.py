@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from krylake.llm.common import batch, lowered, mixed, table, written
+from krylake.llm.common import batch, hot_keys, lowered, mixed, split_join, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKET_ROWS = 200_000
@@ -123,13 +123,14 @@ def exact_dedup(docs: DataFrame, is_new=None) -> DataFrame:
     through = screened(incoming, filters).join(exact.select("sha"), "sha", "left_semi")
     company = through.select("sha").unionByName(exact.filter("n > 1").select("sha")).unionByName(incoming.filter("n > 1").select("sha")).distinct()
     company = written(company)
-    suspects = rows.join(company, "sha").select("doc_id", "sha").distinct()
+    hot = hot_keys(rows, "sha")
+    suspects = split_join(rows, company, "sha", hot).select("doc_id", "sha").distinct()
     plain = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     texts = docs.join(suspects, docs.doc_id.eqNullSafe(suspects.doc_id)).select(docs.doc_id, "sha", plain.alias("plain")).filter(F.sha2(F.col("plain").cast("binary"), 256) == F.lower(F.hex("sha")))
     groups = written(texts.groupBy("sha", "plain").agg(F.max("doc_id").alias("keep"), F.count("*").alias("size")))
     by_sha = groups.groupBy("sha").agg(F.count("*").alias("variants"), F.max("keep").alias("keep"), F.max("size").alias("size"))
     clash = by_sha.filter("variants > 1").select("sha")
-    found = rows.join(by_sha.filter("variants = 1"), "sha", "left")
+    found = split_join(rows, written(by_sha.filter("variants = 1")), "sha", hot, "left")
     if clash.isEmpty():
         told = found
     else:  # different texts with one digest: told apart by their bytes

@@ -11,7 +11,7 @@ of all rows share nor a shard is ever in one task.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from krylake.llm.common import forget, ranked, table, written
+from krylake.llm.common import forget, hot_keys, ranked, split_join, table, written
 
 ROUND_ROWS = 100_000  # rows of a key that one window holds at most, about
 RUN = 1000  # copies of a text that stay together when ranks are dealt out
@@ -35,6 +35,9 @@ def propagated(state: DataFrame, rows: int, shards: int, rounds: int) -> DataFra
         asked = wishes.groupBy(F.col("target").alias("shard")).agg(F.sum("n").alias("asked"))
         # a shard a row: the share of what is asked of it that it has room for, counting what wants to leave as gone
         room = asked.join(loads, "shard", "left").join(left, "shard", "left").select(F.col("shard").alias("target"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (quota(F.col("shard"), rows, shards) - F.coalesce("load", F.lit(0)) + F.coalesce("left", F.lit(0))) / F.col("asked"))).alias("share"))
+        room = written(room)
+        if room.filter("share > 0").isEmpty():  # what still wishes to move finds no room
+            break
         # whole rows move: the fraction left moves or stays by a hash
         part = F.col("n") * F.col("share")
         chance = F.pmod(F.xxhash64("key", "shard", F.lit(i)), F.lit(1 << 20)) / F.lit(1 << 20)
@@ -46,71 +49,66 @@ def propagated(state: DataFrame, rows: int, shards: int, rounds: int) -> DataFra
     return state
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 8) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 12) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of `docs` (doc_id, text; others are ignored).
 
     Law `rows`: the shards' row counts are at most one apart. A null text is empty, size 8, and equal
-    to no text but null ones and empty ones. Rows that repeat a doc_id are rows of their own; which
-    of them gets which slot is then not defined. An empty table gives an empty result.
+    to no text but null ones and empty ones. Rows with a null or repeated doc_id are rows of their own.
+    Labels propagate until none wants to move, `rounds` rounds at most. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
-    base = written(base)
+    base = written(base.withColumn("row", F.monotonically_increasing_id()))
     rows = base.count()
     salts = max(64, -(-rows // ROUND_ROWS))
-    copies = base.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
-    # a text with more copies than a shard holds (there are at most `shards` of them) is cut anyway: it fills up last, in one run
-    hot = {bytes(r["key"]): r["copies"] for r in copies.filter(F.col("copies") > rows // shards).collect()}
-    large = F.col("copies") > rows // shards
-    linked = base.join(copies.filter(~large), "key").select("doc_id", "key")
-    linked = written(ranked(linked, ["key"], "doc_id", "nth", salts))
+    copies = written(base.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    told = written(split_join(base.select("row", "key"), copies, "key", hot_keys(base, "key"), "left"))
+    linked = written(ranked(told.filter("copies IS NOT NULL").select("row", "key"), ["key"], "row", "nth", salts))
+    # a text with more copies than a shard holds has to be cut whatever it does: it takes the roomiest shards when the others have settled
+    sizes, begin, hot = [rows // shards + (s < rows % shards) for s in range(shards)], 0, []
+    for r in copies.filter(F.col("copies") > max(1, rows // shards)).orderBy(F.desc("copies"), "key").collect():  # fewer than `shards`, or than 2 * shards rows in all
+        hot.append((bytes(r["key"]), begin))
+        begin += r["copies"]
+    large = F.broadcast(docs.sparkSession.createDataFrame(hot, "key binary, begin long"))
+    linked = linked.join(large, "key", "left")
+    last = linked.filter("begin IS NOT NULL").select("row", (F.col("begin") + F.col("nth")).alias("nth"))
+    linked = linked.filter("begin IS NULL").select("row", "key", "nth")
     first = linked.groupBy("key", F.pmod(F.xxhash64("key", F.pmod("nth", F.lit(shards))), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
     state = propagated(first, rows, shards, rounds)
     # a text's copies in the order of their ranks go to its shards in turn; at most `shards` entries a text
-    ends = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    spans = state.withColumn("end", F.sum("n").over(ends)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("spans"))
+    upto = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    spans = written(state.withColumn("end", F.sum("n").over(upto)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("spans")))
     group, run_of = F.struct("key", "nth"), F.xxhash64("key", F.floor(F.col("nth") / RUN))
-    wished = linked.join(spans, "key").select("doc_id", group.alias("group"), run_of.alias("run"), F.filter("spans", lambda s: s["end"] > F.col("nth"))[0]["shard"].alias("shard"))
+    placed_in = split_join(linked, spans, "key", hot_keys(linked, "key"))
+    wished = placed_in.select("row", group.alias("group"), run_of.alias("run"), F.filter("spans", lambda s: s["end"] > F.col("nth"))[0]["shard"].alias("shard"))
     # what a shard has too much of are whole groups, which move on together
     placed = written(ranked(wished, ["shard"], "group", "place", salts, by=F.col("run")).withColumn("stays", F.col("place") < quota(F.col("shard"), rows, shards)))
-    # the rest fills up: free room by shard as cumulative counts, one row of `shards` numbers
+    # the rest fills up the shards, the roomiest first: large texts in one run each, whole groups, rows without links
     loads = {r["shard"]: r["n"] for r in placed.filter("stays").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    placed_rows = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    bounds, total = [], 0
-    for s in range(shards):
-        total += rows // shards + (s < rows % shards) - loads.get(s, 0)
-        bounds.append(total)
-    stays = placed.filter("stays").select("doc_id", "shard")
-    free = ranked(base.join(copies, "key", "left_anti").select("doc_id"), [], "doc_id", "nth", salts).select("doc_id", "nth")
-    over = sum(placed_rows.values()) - sum(loads.values())
+    room = [n - loads.get(s, 0) for s, n in enumerate(sizes)]
+    order = sorted(range(shards), key=lambda s: (-room[s], s))
+    bounds = [sum(room[s] for s in order[: i + 1]) for i in range(shards)]
+    over = placed.filter("NOT stays").count()
+    free = last.unionByName(ranked(told.filter("copies IS NULL").select("row"), [], "row", "nth", salts).select("row", (F.col("nth") + begin + over).alias("nth")))
     if over:
-        begin = total - sum(hot.values()) - over
-        free = free.unionByName(ranked(placed.filter("NOT stays"), [], "group", "at", salts, by=F.col("run")).select("doc_id", (begin + F.col("at")).alias("nth")))
-    if hot:
-        begin, offsets = total - sum(hot.values()), []
-        for key, n in sorted(hot.items()):
-            offsets.append((key, begin))
-            begin += n
-        runs = F.broadcast(base.sparkSession.createDataFrame(offsets, "key binary, begin long"))
-        own = ranked(base.join(runs, "key").select("doc_id", "key", "begin"), ["key"], "doc_id", "at", salts)
-        free = free.unionByName(own.select("doc_id", (F.col("begin") + F.col("at")).alias("nth")))
-    filled = free.select("doc_id", F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("nth"))).alias("shard"))
-    assigned = stays.unionByName(filled)
-    full = base.drop("key").join(assigned, "doc_id")
-    if base.agg(F.count_distinct("doc_id")).first()[0] < rows:  # null or repeated ids: pair them off by their order
-        left = ranked(base.drop("key").withColumn("_x", F.xxhash64("size", "text_crc32")), ["doc_id"], "_x", "_n", salts).drop("_x")
-        right = ranked(assigned, ["doc_id"], "shard", "_n", salts).select(F.col("doc_id").alias("_id"), F.col("_n").alias("_m"), "shard")
-        full = left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m"))).drop("_id", "_n", "_m")
-    out = ranked(written(full), ["shard"], "doc_id", "slot", salts)
+        free = free.unionByName(ranked(placed.filter("NOT stays"), [], "group", "at", salts, by=F.col("run")).select("row", (begin + F.col("at")).alias("nth")))
+    nth_shard = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("nth")))
+    filled = free.select("row", F.element_at(F.array(*map(F.lit, order)), nth_shard + 1).alias("shard"))
+    assigned = placed.filter("stays").select("row", "shard").unionByName(filled)
+    full = base.join(assigned, "row").withColumn("order", F.struct("doc_id", "row"))
+    out = ranked(written(full), ["shard"], "order", "slot", salts)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def cut_links(assigned: DataFrame, keys: DataFrame) -> DataFrame:
-    """links, cut: pairs of documents with equal texts (as stars), and those whose ends lie in different shards.
+def cut_links(assigned: DataFrame, docs: DataFrame) -> DataFrame:
+    """links, cut, least: pairs of documents with equal texts as stars, those whose ends lie in different shards, and the fewest that any assignment of such sizes cuts.
 
-    assigned: doc_id, shard; keys: doc_id, key."""
-    per = keys.join(assigned, "doc_id").groupBy("key", "shard").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    return per.agg(F.sum(F.col("n") - 1).alias("links"), F.sum(F.col("n") - F.col("most")).alias("cut"))
+    assigned: what shard_rows gives for docs, doc_ids not repeated."""
+    keys = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    sizes = assigned.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n").alias("room"))
+    per = keys.join(assigned, "doc_id").groupBy("key", "shard").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("in_shards"))
+    room = F.lit((sizes.first()["room"]) or 1)
+    return per.agg(F.sum(F.col("n") - 1).alias("links"), F.sum(F.col("in_shards") - 1).alias("cut"), F.sum(F.ceil(F.col("n") / room) - 1).alias("least"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

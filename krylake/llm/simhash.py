@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from krylake.llm.common import batch, lowered, table, written
+from krylake.llm.common import batch, hot_keys, lowered, split_join, table, written
 from krylake.llm.components import components
 
 PART = 4096  # fingerprints of a bucket that meet in one piece
@@ -175,14 +175,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     Documents whose fingerprints differ in at most `radius` bits are linked; component_id is the
     smallest doc_id that links reach. Texts without words (null, empty, blanks) have fingerprint 0 and
     are linked like any other. A row without doc_id gets a fingerprint; its component_id is null if
-    it is linked to nothing else.
+    it is linked to nothing else. Rows that repeat each get a row; no rows give none.
     """
     prints = written(fingerprints(docs, shingle))
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = linked(reps.filter("rep IS NOT NULL"), radius)
     joined = components(edges)
     groups = written(reps.join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return split_join(prints, groups, "fp", hot_keys(prints, "fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from krylake.llm.common import written
 from krylake.llm import components, embedding_dedup, exact_dedup, langid, licenses, ngram_lm, packing, pieces, sharding, simhash, toxicity
 
 DDL = "doc_id long, text string, lang string, source string, score double, key string, n long, kept boolean"
@@ -130,6 +131,8 @@ def test_sharding(spark, docs, texts, none):
     groups = Counter(want.values())
     shards = {t: {r["shard"] for r in rows if want[r["doc_id"]] == t} for t, k in groups.items() if 1 < k <= 6}
     assert sum(len(s) == 1 for s in shards.values()) >= 0.8 * len(shards)
+    cut = sharding.cut_links(written(sharding.shard_rows(many)), many).first()
+    assert cut["links"] == sum(k - 1 for k in groups.values()) and cut["least"] <= cut["cut"] <= cut["least"] + 0.2 * cut["links"]
     assert sharding.shard_rows(none).count() == 0
     twice = sharding.shard_rows(docs.unionByName(docs)).collect()
     assert len(twice) == 2 * len(texts)
@@ -144,11 +147,11 @@ def test_toxicity(spark, none):
         if i % 4 == 0:
             w.insert(int(rng.integers(0, 30)), bad[i % 3])
         rows.append((i, " ".join(w)))
-    d = spark.createDataFrame([*rows, (9001, None), (9002, ""), (9003, "housea you 1d10t riverb"), (9004, "treea m o r o n stonec"), (9005, "treea housea riverb")], "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("predicted", F.lit(9))
+    d = spark.createDataFrame([*rows, (9001, None), (9002, ""), (9003, "housea you 1d10t riverb"), (9004, "treea m o r o n stonec"), (9005, "treea housea riverb"), (9006, "treea h o u s e a m o r o n r i v e r b stonec"), (9007, "q1" * 200 + " housea " + "i d i o t " * 40)], "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("predicted", F.lit(9))
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(5, None), (0, 1)], "doc_id long, toxic int")
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(d, labels).collect()}
     assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400))
-    assert [got[i]["predicted"] for i in (9001, 9002, 9003, 9004, 9005)] == [0, 0, 1, 1, 0]
+    assert [got[i]["predicted"] for i in (9001, 9002, 9003, 9004, 9005, 9006, 9007)] == [0, 0, 1, 1, 0, 1, 1]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
     assert toxicity.score_toxicity(none, labels).count() == 0
     assert {r["predicted"] for r in toxicity.score_toxicity(d, labels.limit(0)).collect()} == {0}
