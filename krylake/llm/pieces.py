@@ -14,7 +14,6 @@ become byte pieces. Texts stay in packed chunks, which ask buckets of runs once
 """
 
 import functools
-import re
 import zlib
 from itertools import pairwise
 
@@ -27,9 +26,7 @@ from pyspark.sql import functions as F
 from krylake.llm.common import table, written
 
 SPACE = "▁"
-WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CHUNK_ROWS, CHUNK_BYTES = 16384, 8 << 20
-RUNS = 8192  # runs of a lattice's partition, about: their edges are sorted in memory
 BLOCK = 256  # signs that the inner fold takes at once: arrays are copied when they grow
 NEVER = (1 << 20) - 1  # later than any rank
 PACKED, PACKED_DDL = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())]), "chunk long, blob binary"
@@ -88,24 +85,29 @@ def piece_table(path: str) -> list[tuple]:
 
 
 @functools.cache
-def neighbours(path: str) -> frozenset[tuple[str, str]]:
-    """Signs that some piece has side by side."""
-    return frozenset(x for p, _, _ in piece_rows(path) for x in pairwise(p))
-
-
-def units(text: str) -> list[str]:
-    """A text's parts before spaces: spaces as their sign, with what follows them; no piece goes on after them."""
-    if not text:
-        return []
-    if "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
-        return [SPACE + w for w in text.split(" ")]
-    return WORDS.findall(SPACE + text.replace(" ", SPACE))
-
-
-def runs(unit: str, beside: frozenset) -> list[str]:
-    """A unit's parts between signs that no piece has side by side."""
-    cuts = [i for i, x in enumerate(pairwise(unit), 1) if x not in beside]
-    return [unit[a:b] for a, b in pairwise([0, *cuts, len(unit)])] if cuts else [unit]
+def neighbours(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """A class for each sign, 0 for those in no piece, and whether some piece has two classes side by side."""
+    signs = {c: i for i, c in enumerate(sorted({c for p, _, _ in piece_rows(path) for c in p}), 1)}
+    classes, beside = np.zeros(0x110000, np.int16), np.zeros((len(signs) + 1, len(signs) + 1), bool)
+    for c, i in signs.items():
+        classes[ord(c)] = i
+    for a, b in {x for p, _, _ in piece_rows(path) for x in pairwise(p)}:
+        beside[signs[a], signs[b]] = True
+    return classes, beside
+
+
+def runs(texts: list[str | None], path: str) -> tuple[list[str], np.ndarray]:
+    """The parts of texts between signs that no piece has side by side, spaces as their sign and one in front of each text, and how many each text has."""
+    classes, beside = neighbours(path)
+    marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+    joined, first = "".join(marked), np.cumsum([0, *map(len, marked)])
+    if not joined:
+        return [], np.zeros(len(texts), np.int64)
+    own = classes[np.frombuffer(joined.encode("utf-32-le"), "<u4")]
+    head = np.append(True, ~beside[own[:-1], own[1:]])
+    head[first[:-1][first[:-1] < len(head)]] = True
+    at = np.flatnonzero(head)
+    return [joined[x:y] for x, y in pairwise([*at.tolist(), len(joined)])], np.diff(np.searchsorted(at, first))
 
 
 def let(value: Column, use) -> Column:
@@ -114,19 +116,21 @@ def let(value: Column, use) -> Column:
 
 
 def lattice(rows: DataFrame, path: str) -> DataFrame:
-    """rows (run: each once, not empty): adds the ids of its path. The piece table is a fixed vocabulary and broadcast."""
+    """rows (bucket, run: each once, not empty): adds the ids of its path. The piece table is a fixed vocabulary and broadcast; rows that lie by bucket aren't shuffled."""
     known = piece_table(path)
     longest, first_byte = max(len(r[0]) for r in known), processor(path).piece_to_id("<0x00>")
     part = "struct<n: int, formed: int, until: int>"
     pieces = F.broadcast(rows.sparkSession.createDataFrame(known, f"piece string, id int, rank int, left array<{part}>, right array<long>"))
-    ends = rows.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("end"))
-    spans = ends.select("run", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("end")))).alias("len"))
+    starts = rows.withColumn("end", F.explode(F.sequence(F.lit(1), F.length("run"))))
+    spans = starts.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("end")))))
     found = spans.withColumn("piece", F.col("run").substr(F.col("end") - F.col("len") + 1, F.col("len"))).join(pieces, "piece", "left").filter("id IS NOT NULL OR len = 1")
     # a sign without a piece: id -1, never merged
     left = F.coalesce("left", F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("formed"), F.lit(NEVER).alias("until"))))
-    edge = F.struct((F.col("end") - F.col("len")).alias("start"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("rank", F.lit(0)).alias("rank"), left.alias("left"), F.coalesce("right", F.array(F.lit(NEVER).cast("long"))).alias("right"))
-    by_end = found.groupBy("run", "end").agg(F.collect_list(edge).alias("edges"))
-    grouped = by_end.groupBy("run").agg(F.transform(F.sort_array(F.collect_list(F.struct("end", "edges"))), lambda x: x["edges"]).alias("ends"))
+    edge = F.struct("end", (F.col("end") - F.col("len")).alias("start"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("rank", F.lit(0)).alias("rank"), left.alias("left"), F.coalesce("right", F.array(F.lit(NEVER).cast("long"))).alias("right"))
+    grouped = found.groupBy("bucket", "run").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # the edges of each end
+    heads = F.filter(F.sequence(F.lit(0), F.size("edges") - 1), lambda i: (i == 0) | (F.get("edges", i)["end"] != F.get("edges", i - 1)["end"]))
+    grouped = grouped.withColumn("heads", heads).withColumn("ends", F.transform("heads", lambda h, k: F.slice("edges", h + 1, F.coalesce(F.get("heads", k + 1), F.size("edges")) - h))).select("bucket", "run", "ends")
 
     def crossed(right: Column, e: Column) -> Column:
         """Whether a part of the edge before and one of this edge would have merged across the start of this edge."""
@@ -140,29 +144,35 @@ def lattice(rows: DataFrame, path: str) -> DataFrame:
         return F.exists(e["left"], own)
 
     def step(s, edges):
-        """One end: the only edge that its predecessor's best edge can be followed by. `last` are the best edges of the ends before, as far as a piece reaches."""
-        good = F.filter(edges, lambda e: F.when(e["start"] == 0, True).otherwise(~crossed(F.element_at(s["last"], e["start"] - s["at"] - 1)["right"], e)))
-        packed = lambda e: F.shiftleft(e["start"].cast("long"), 20).bitwiseOR((e["id"] + 1).cast("long"))
-        before = F.when(F.size(s["last"]) < longest, s["last"]).otherwise(F.slice(s["last"], 2, longest))
-        return let(good[0], lambda e: F.struct((s["at"] + 1).alias("at"), F.concat(before, F.array(F.struct(packed(e).alias("edge"), e["right"].alias("right")))).alias("last"), F.concat(s["own"], F.array(packed(e))).alias("own")))
+        """One end: which of its edges the best edge at its start can be followed by; there is only one. `own` are the numbers of the best edges so far."""
+        before = lambda e: F.get(F.col("ends")[e["start"] - 1], F.element_at(s["own"], e["start"] - s["at"] - 1))["right"]
+        best = F.array_max(F.transform(edges, lambda e, i: F.when(F.when(e["start"] == 0, True).otherwise(~crossed(before(e), e)), i)))
+        return F.struct((s["at"] + 1).alias("at"), F.concat(s["own"], F.array(best)).alias("own"))
 
     def block(s, k):
-        inner = F.aggregate(F.slice("ends", k * BLOCK + 1, F.lit(BLOCK)), F.struct(s["at"].alias("at"), s["last"].alias("last"), F.array().cast("array<long>").alias("own")), step)
-        return let(inner, lambda r: F.struct(r["at"].alias("at"), r["last"].alias("last"), F.concat(s["out"], F.array(r["own"])).alias("out")))
+        inner = F.aggregate(F.slice("ends", k * BLOCK + 1, F.lit(BLOCK)), F.struct(s["at"].alias("at"), s["tail"].alias("own")), step)
+
+        def kept(r):  # what a piece may reach back to goes along
+            n = F.size(r["own"])
+            return F.struct(r["at"].alias("at"), F.slice(r["own"], F.greatest(F.lit(1), n - longest + 1), F.lit(longest)).alias("tail"), F.concat(s["out"], F.array(F.slice(r["own"], F.size(s["tail"]) + 1, n))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<edge: long, right: array<long>>>").alias("last"), F.array().cast("array<array<long>>").alias("out"))
-    folded = grouped.select("run", F.aggregate(F.sequence(F.lit(0), F.floor((F.size("ends") - 1) / BLOCK).cast("int")), start, block)["out"].alias("out"))
+        return let(inner, kept)
 
-    def back(s, e):  # from the last end to the first; `end` is where the next edge of the path ends
-        here = s["at"] == s["end"]
-        return F.struct((s["at"] - 1).alias("at"), F.when(here, F.shiftright(e, 20).cast("int")).otherwise(s["end"]).alias("end"), F.when(here, F.concat(F.array(e), s["own"])).otherwise(s["own"]).alias("own"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("tail"), F.array().cast("array<array<int>>").alias("out"))
+    folded = grouped.withColumn("out", F.aggregate(F.sequence(F.lit(0), F.floor((F.size("ends") - 1) / BLOCK).cast("int")), start, block)["out"])
+
+    def back(s, k):  # from the last end to the first; `end` is where the next edge of the path ends
+        def edge_of(e):
+            return F.struct((s["at"] - 1).alias("at"), e["start"].alias("end"), F.concat(F.array(F.shiftleft(e["start"].cast("long"), 20).bitwiseOR((e["id"] + 1).cast("long"))), s["own"]).alias("own"))
+
+        return F.when(s["at"] == s["end"], let(F.get(F.col("ends")[s["at"] - 1], k), edge_of)).otherwise(F.struct((s["at"] - 1).alias("at"), s["end"].alias("end"), s["own"].alias("own")))
 
     def back_block(s, b):
         inner = F.aggregate(F.reverse(b), F.struct(s["at"].alias("at"), s["end"].alias("end"), F.array().cast("array<long>").alias("own")), back)
         return let(inner, lambda r: F.struct(r["at"].alias("at"), r["end"].alias("end"), F.concat(F.array(r["own"]), s["out"]).alias("out")))
 
     n = F.length("run")
-    paths = folded.select("run", F.flatten(F.aggregate(F.reverse("out"), F.struct(n.alias("at"), n.alias("end"), F.array().cast("array<array<long>>").alias("out")), back_block)["out"]).alias("path"))
+    paths = folded.select("bucket", "run", F.flatten(F.aggregate(F.reverse("out"), F.struct(n.alias("at"), n.alias("end"), F.array().cast("array<array<long>>").alias("out")), back_block)["out"]).alias("path"))
 
     def ids_of(e):
         i = e.bitwiseAND(F.lit(NEVER)).cast("int")
@@ -170,7 +180,7 @@ def lattice(rows: DataFrame, path: str) -> DataFrame:
         as_bytes = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda k: F.conv(F.substring(hexed, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
         return F.when(i == 0, as_bytes).otherwise(F.array(i - 1))
 
-    return paths.select("run", F.flatten(F.transform("path", ids_of)).alias("ids"))
+    return paths.select("bucket", "run", F.flatten(F.transform("path", ids_of)).alias("ids"))
 
 
 def squeezed(values: list[bytes]) -> bytes:
@@ -198,7 +208,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
         def blob():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as w:
                 w.write_table(pa.Table.from_batches(held).combine_chunks())
             return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
 
@@ -224,16 +234,12 @@ def opened(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def by_bucket(texts: list[str | None], beside: frozenset, buckets: int) -> tuple[dict[int, list[bytes]], dict[str, list[str]]]:
-    """The texts' distinct runs by bucket, sorted, and the runs of each of their distinct units."""
-    own: dict[str, list[str]] = {}
-    for t in texts:
-        for u in set(units(t or "")).difference(own):
-            own[u] = runs(u, beside)
+def by_bucket(own: list[str], buckets: int) -> dict[int, list[bytes]]:
+    """Distinct runs by bucket, sorted."""
     out: dict[int, list[bytes]] = {}
-    for r in sorted({r.encode() for rs in own.values() for r in rs}):
+    for r in sorted(r.encode() for r in set(own)):
         out.setdefault(zlib.crc32(r) % buckets, []).append(r)
-    return out, own
+    return out
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -246,47 +252,52 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     chunks = max(1, -(-rows // CHUNK_ROWS), -(-size // CHUNK_BYTES))
-    buckets = chunks
+    buckets, width = 4 * chunks, 2 if processor(path).get_piece_size() < 1 << 16 else 4  # bytes of an id
     chunked = packed(docs)
-    beside, width = neighbours(path), 2 if processor(path).get_piece_size() < 1 << 16 else 4  # bytes of an id
 
     def ask(batches):
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                asked, _ = by_bucket(opened(blob.as_buffer()).column("text").to_pylist(), beside, buckets)
-                if asked:
+                own, _ = runs(opened(blob.as_buffer()).column("text").to_pylist(), path)
+                if asked := by_bucket(own, buckets):
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(asked), pa.int64()), pa.array(list(asked), pa.int32()), pa.array([squeezed(x) for x in asked.values()], pa.binary())], schema=ASKED)
 
     def distinct(asked: pa.Table) -> pa.Table:
-        return pa.table({"run": pa.array([r.decode() for r in sorted({r for x in asked.column("runs").to_pylist() for r in loosed(x)})], pa.string())})
+        """A bucket's distinct runs, and for each chunk which of them it asks for, by their place among the sorted ones."""
+        own = [loosed(x) for x in asked.column("runs").to_pylist()]
+        every = sorted({r for x in own for r in x})
+        place = {r: i for i, r in enumerate(every)}
+        at = [squeezed([np.diff([place[r] for r in x], prepend=0).astype("<u4").tobytes()]) for x in own]
+        bucket, n = asked.column("bucket")[0].as_py(), len(every)
+        return pa.table([pa.array([bucket] * (n + len(at)), pa.int32()), pa.array([r.decode() for r in every] + [None] * len(at), pa.string()), pa.array([None] * n + asked.column("chunk").to_pylist(), pa.int64()), pa.array([None] * n + at, pa.binary())], names=["bucket", "run", "chunk", "at"])
 
     def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
-        known = {r.encode(): np.array(i, f"<u{width}").tobytes() for r, i in zip(told.column("run").to_pylist(), told.column("ids").to_pylist(), strict=True)}
-        got = [squeezed([known[r] for r in loosed(x)]) for x in asked.column("runs").to_pylist()]
-        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(got, pa.binary())], schema=TOLD)
+        own, ids = [r.encode() for r in told.column("run").to_pylist()], told.column("ids").to_pylist()
+        known = [np.array(ids[i], f"<u{width}").tobytes() for i in sorted(range(len(own)), key=own.__getitem__)]
+        got = [squeezed([known[i] for i in np.cumsum(np.frombuffer(loosed(x)[0], "<u4"), dtype=np.int64).tolist()]) for x in asked.column("which").to_pylist()]
+        return pa.table([asked.column("by"), asked.column("of"), pa.array(got, pa.binary())], schema=TOLD)
 
     def apply(chunk: pa.Table, told: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return pa.Table.from_batches([], schema=ENCODED)
         part = opened(chunk.column("blob")[0].as_buffer())
-        texts = part.column("text").to_pylist()
-        asked, own = by_bucket(texts, beside, buckets)
-        known: dict[str, bytes] = {}
+        own, n = runs(part.column("text").to_pylist(), path)
+        asked = by_bucket(own, buckets)
         if set(told.column("bucket").to_pylist()) != set(asked):
             raise RuntimeError("the rows of docs came in another order than before: encode a written table")
+        known: dict[str, bytes] = {}
         for bucket, got in zip(told.column("bucket").to_pylist(), told.column("ids").to_pylist(), strict=True):
             known.update(zip((r.decode() for r in asked[bucket]), loosed(got), strict=True))
-        of = {u: b"".join(map(known.__getitem__, rs)) for u, rs in own.items()}
-        blobs = [b"".join(map(of.__getitem__, units(t or ""))) for t in texts]
-        n = np.array([len(b) for b in blobs], np.int64) // width
-        ids = np.frombuffer(b"".join(blobs), f"<u{width}").astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids))
-        return pa.table([part.column("doc_id").combine_chunks(), pa.array(n), lists], schema=ENCODED)
-
-    asked = written(chunked.mapInArrow(ask, ASKED_DDL))
-    wanted = written(asked.select("bucket", "runs").groupBy("bucket").applyInArrow(distinct, "run string"))
-    found = written(lattice(wanted.repartition(max(1, -(-wanted.count() // RUNS)), "run"), path))
-    told = asked.groupBy("bucket").cogroup(found.withColumn("own", F.pmod(F.crc32(F.col("run")), F.lit(buckets)).cast("int")).groupBy("own")).applyInArrow(answer, TOLD_DDL)
+        found = list(map(known.__getitem__, own))
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))[np.append(0, np.cumsum(n))] // width
+        ids = np.frombuffer(b"".join(found), f"<u{width}").astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        return pa.table([part.column("doc_id").combine_chunks(), pa.array(np.diff(ends)), lists], schema=ENCODED)
+
+    wanted = written(chunked.mapInArrow(ask, ASKED_DDL).groupBy("bucket").applyInArrow(distinct, "bucket int, run string, chunk long, at binary"), "zstd")
+    found = lattice(wanted.filter("run IS NOT NULL").select("bucket", "run").repartition(2 * chunks, "bucket"), path)
+    wishes = wanted.filter("run IS NULL").select(F.col("bucket").alias("of"), F.col("chunk").alias("by"), F.col("at").alias("which"))
+    told = wishes.groupBy("of").cogroup(found.groupBy("bucket")).applyInArrow(answer, TOLD_DDL)
     return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_pieces long, ids array<int>")
 
 
