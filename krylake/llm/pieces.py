@@ -146,7 +146,7 @@ def lattice(rows: DataFrame, path: str) -> DataFrame:
     def step(s, edges):
         """One end: which of its edges the best edge at its start can be followed by; there is only one. `own` are the numbers of the best edges so far."""
         before = lambda e: F.get(F.col("ends")[e["start"] - 1], F.element_at(s["own"], e["start"] - s["at"] - 1))["right"]
-        best = F.array_max(F.transform(edges, lambda e, i: F.when(F.when(e["start"] == 0, True).otherwise(~crossed(before(e), e)), i)))
+        best = F.array_max(F.transform(edges, lambda e, i: F.when(F.when(e["start"] == 0, True).otherwise(let(before(e), lambda right: ~crossed(right, e))), i)))
         return F.struct((s["at"] + 1).alias("at"), F.concat(s["own"], F.array(best)).alias("own"))
 
     def block(s, k):
