@@ -49,13 +49,14 @@ def point_in_polygon(spark, sf_dir):
     return s.masked(sensors(spark, sf_dir), polygons).select("id", "interior")
 
 
-@query(f"""WITH {SUP}, k AS (SELECT *, 2 * (w + h) / 60 AS len, unnest(range(60)) AS seq FROM p), q AS (SELECT *, (seq + 0.5) * len AS s FROM k)
-SELECT id, seq, round(x + CASE WHEN s < w THEN s - w / 2 WHEN s < w + h THEN w / 2 WHEN s < 2 * w + h THEN w / 2 - (s - w - h) ELSE -w / 2 END, 6) AS x,
-round(y + CASE WHEN s < w THEN -h / 2 WHEN s < w + h THEN s - w - h / 2 WHEN s < 2 * w + h THEN h / 2 ELSE h / 2 - (s - 2 * w - h) END, 6) AS y,
-CASE WHEN s < w THEN 0 WHEN s < w + h THEN 1 WHEN s < 2 * w + h THEN 0 ELSE -1 END::DOUBLE AS nx, CASE WHEN s < w THEN -1 WHEN s < w + h THEN 0 WHEN s < 2 * w + h THEN 1 ELSE 0 END::DOUBLE AS ny, round(len, 6) AS len FROM q""")
+EDGES = """e AS (SELECT id, unnest([{ex: x - w / 2, ey: y - h / 2, dx: w, dy: 0.0, t0: 0.0, t1: w}, {ex: x + w / 2, ey: y - h / 2, dx: 0.0, dy: h, t0: w, t1: w + h}, {ex: x + w / 2, ey: y + h / 2, dx: -w, dy: 0.0, t0: w + h, t1: 2 * w + h}, {ex: x - w / 2, ey: y + h / 2, dx: 0.0, dy: -h, t0: 2 * w + h, t1: 2 * w + 2 * h}], recursive := true), w, h FROM p),
+r AS (SELECT e.*, seq, 2 * (w + h) / 60 AS len, (seq + 0.5) * 2 * (w + h) / 60 AS mid FROM e, (SELECT unnest(range(60)) AS seq))"""
+
+
+@query(f"WITH {SUP}, {EDGES} SELECT id, seq, round(ex + dx * (mid - t0) / (t1 - t0), 6) AS x, round(ey + dy * (mid - t0) / (t1 - t0), 6) AS y, dy / (t1 - t0) AS nx, 0.0 - dx / (t1 - t0) AS ny, round(len, 6) AS len FROM r WHERE mid >= t0 AND mid < t1")
 def rect_panels(spark, sf_dir):
     shapes = suppliers(spark, sf_dir).select("id", F.col("x").alias("cx"), F.col("y").alias("cy"), "w", "h")
-    return s.rect_panels(shapes, 60).select("id", "seq", *[F.round(c, 6).alias(c) for c in ("x", "y")], "nx", "ny", F.round("len", 6).alias("len"))
+    return s.rect_panels(shapes, 60).select("id", "seq", *[F.round(c, 6).alias(c) for c in ("x", "y")], *[(F.col(c) + 0.0).alias(c) for c in ("nx", "ny")], F.round("len", 6).alias("len"))
 
 
 KINDS = "['ellipse', 'circle', 'submarine', 'rect', 'other']"

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,11 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), one of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset on one machine (tests), one of our own. A cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="krylake-")
         found = _own_dirs[app]
     return found.rstrip("/")
+
+
+def written(df: DataFrame, form: str = "parquet", **options: str) -> DataFrame:
+    """`df` as a table in the shared folder: read again, its lineage is cut."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.format(form).options(**options).save(path)
+    return df.sparkSession.read.format(form).schema(df.schema).options(**options).load(path)

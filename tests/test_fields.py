@@ -66,5 +66,16 @@ def test_blocks_do_not_change_results(spark, rows):
     got = {r["id"]: r["y"] for r in kernel_apply(p, p, lambda a, b: a @ b.T, "v", rows=rows).collect()}
     x = np.array([r["p"] for r in p.orderBy("id").collect()])
     assert [got[i] for i in range(20)] == pytest.approx((x @ x.T @ np.arange(20.0)).tolist())
-    near = nearest(p, p, rows).collect()
-    assert all(r["id"] == r["nearest_id"] and r["distance"] == 0 for r in near)
+    near = nearest(p, p).collect()
+    assert len(near) == 20 and all(r["id"] == r["nearest_id"] and r["distance"] == 0 for r in near)
+
+
+def test_nearest_through_the_grid(spark):
+    """Far queries, ties and a dense cluster; no targets give no rows."""
+    q = [(i, [float(i * 37 % 101) * 3 - 60, float(i * 53 % 97)]) for i in range(200)]
+    t = [(i, [float(i % 7), float(i % 5)]) for i in range(60)] + [(99, [250.0, 90.0])]
+    a, b = (spark.createDataFrame(x, "id long, p array<double>") for x in (q, t))
+    got = {r["id"]: (r["distance"], r["nearest_id"]) for r in nearest(a, b).collect()}
+    want = {i: min((math.dist(p, o), j) for j, o in t) for i, p in q}
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and got[i][0] == pytest.approx(want[i][0]) for i in want)
+    assert nearest(a, b.limit(0)).count() == 0

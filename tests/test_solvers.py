@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from krylake.functions.kernels import rbf_block
-from krylake.operators.krylov import Factored, arnoldi, cg, gmres, gmres_ir
+from krylake.operators.krylov import Factored, correction, cg, gmres, gmres_ir
 from krylake.operators.linear import LocalOp, RecomputeOp, StoredOp
 
 
@@ -49,8 +49,8 @@ def test_exact_start_and_no_iterations():
     assert not done and history == [(0, 1.0)]
 
 
-def test_breakdown_is_rotated_before_it_ends():
-    d, m = arnoldi(LocalOp(np.diag([1.0, 2.0])), np.ones(2), 2, 0.0)
+def test_a_space_that_ends_is_used_up():
+    d, m = correction(LocalOp(np.diag([1.0, 2.0])), np.ones(2), 2, 0.0)
     assert np.allclose(d, [1.0, 0.5], atol=1e-6) and m == 2
 
 
