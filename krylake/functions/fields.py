@@ -75,7 +75,7 @@ def hotspots(x: Column, y: Column, t: Column) -> Column:
 
 
 def incident_strength(t: Column, t_start: Column, duration: Column) -> Column:
-    """1, fading over the last fifth of the duration to 0; without end where duration is negative. 0 before the start and for duration 0."""
+    """1, fading over the last fifth of the duration to 0; without end where duration is negative. 0 before the start and for duration 0."""
     frac = (t - t_start) / F.when(duration == 0, None).otherwise(duration)
     return F.when(duration < 0, 1.0).when((duration == 0) | (t < t_start) | (frac >= 1.0), 0.0).when(frac > 0.8, 1.0 - (frac - 0.8) / 0.2).otherwise(1.0)
 
@@ -106,6 +106,7 @@ def display(re: Column, im: Column) -> dict[str, Column]:
 
 
 def power_label(p: Column) -> Column:
+    """Thresholds and names of the bins."""
     return F.when(p < 0.05, "CLOAK").when(p < 0.15, "LOW").when(p < 0.5, "MED").when(p < 1.0, "HIGH").otherwise("LOUD")
 
 
@@ -143,3 +144,27 @@ def time_label(s: Column) -> Column:
 def outer_iterations(n: Column, least: int = 6, slope: float = 1.5) -> Column:
     """Outer refinements for a system of n unknowns."""
     return F.greatest(F.lit(least), least + ((n.cast("double") / 8192.0 - 1.0) * slope).cast("long")).cast("long")
+
+
+def finite(v: Column) -> Column:
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+
+def sanitised(v: Column, instead: float = 0.0) -> Column:
+    """The value, or `instead` where it isn't finite."""
+    return F.when(finite(v), v).otherwise(F.lit(instead))
+
+
+def from_canvas(px: Column, py: Column, width: float, height: float, size: float) -> tuple[Column, Column]:
+    """Pixels from the upper left corner to a plane of side `size` about the middle, y upwards."""
+    return (px - width / 2) / width * size, (height / 2 - py) / height * size
+
+
+def measured(truth: Column, key: Column, std: float = 0.08) -> Column:
+    """A reading: the truth with normal noise, a function of the key alone."""
+    return truth + std * normal(key)
+
+
+def clamped_settings(k: Column, panels: Column) -> tuple[Column, Column]:
+    """Wave number within 1 and 30, number of panels within 60 and 500."""
+    return clip(k, 1.0, 30.0), F.least(F.greatest(panels, F.lit(60)), F.lit(500))

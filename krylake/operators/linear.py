@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL = 8192  # unknowns up to which an operator fits the driver
 BROADCAST_BYTES = 512 << 20
@@ -147,3 +148,41 @@ def kernel_operator(spark: SparkSession, points: np.ndarray, kernel: Callable, r
         return LocalOp(kernel(points, points) + reg * np.eye(len(points)))
     exact = RecomputeOp(spark, points, kernel, reg)
     return exact if store == "recompute" else StoredOp(exact, path if store == "parquet" else None)
+
+
+def from_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(block, ids, data): rows (i, row: doubles) of a user's matrix packed into blocks of about `size` rows, to be stored and scanned."""
+    count = max(1, -(-rows.count() // size))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["i"].to_numpy(np.int64).tobytes()], "data": [np.stack(pdf["row"].to_numpy()).astype(np.float64).tobytes()]})
+
+    return rows.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(count)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, data binary")
+
+
+def blocks_product(blocks: DataFrame, x: list[float]) -> DataFrame:
+    """(i, y) of blocks (ids, data) times a vector as long as a row, which is checked before it goes to all tasks."""
+    v = checked(np.asarray(x, np.float64))
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids = np.frombuffer(r.ids, np.int64)
+                a = np.frombuffer(r.data).reshape(len(ids), -1)
+                if a.shape[1] != len(v):
+                    raise ValueError(f"rows of {a.shape[1]} numbers, a vector of {len(v)}")
+                yield pd.DataFrame({"i": ids, "y": a @ v})
+
+    return blocks.mapInPandas(run, "i long, y double")
+
+
+def coordinates_product(entries: DataFrame, x: DataFrame) -> DataFrame:
+    """(i, y) of entries (i, j, v) times a vector (j, x): an equi-join and a sum, neither side collected."""
+    return entries.join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+
+
+def real_blocks(entries: DataFrame) -> DataFrame:
+    """Entries (i, j, re, im) of a complex matrix as those (i, j, v) of the real one of twice the size, rows and columns interleaved."""
+    four = [(0, 0, F.col("re")), (0, 1, -F.col("im")), (1, 0, F.col("im")), (1, 1, F.col("re"))]
+    return entries.select(F.inline(F.array(*[F.struct((2 * F.col("i") + a).alias("i"), (2 * F.col("j") + b).alias("j"), v.alias("v")) for a, b, v in four])))

@@ -1,4 +1,4 @@
 """Every registered query of the engine proper, with its SQL."""
 
-from krylake.plans import fields, kernels, relational, solvers, spatial, state, streams  # noqa: F401  they register
+from krylake.plans import extensions, fields, kernels, readings, relational, shapes, solvers, spatial, state, streams  # noqa: F401  they register
 from krylake.plans.registry import ORACLES, QUERIES  # noqa: F401
