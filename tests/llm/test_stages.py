@@ -56,6 +56,9 @@ def test_near_stage_finds_every_copy(spark, small):
     rows = written(docs.selectExpr("doc_id AS row", "text"))
     got = {r["node"]: r["component"] for r in similarity.near_copies(rows, small=small).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == group.tolist()
+    alike = spark.range(1, len(texts)).selectExpr("0L AS a", "id AS b")  # pairs held for similar elsewhere: true ones and false ones
+    got = {r["node"]: r["component"] for r in similarity.near_copies(rows, small=small, alike=alike).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == group.tolist()
     assert c.near_stage(spark, written(docs.limit(0)), "").count() == 0
 
 
