@@ -115,63 +115,92 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def constant(values) -> Column:
+    """Whole numbers as an array that the plan holds once: folded before it runs, read by place."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def lattice(rows: DataFrame, path: str) -> DataFrame:
-    """rows (bucket, run: each once, not empty): adds the ids of its path. The piece table is a fixed vocabulary and broadcast; rows that lie by bucket aren't shuffled."""
+    """rows (bucket, run: each once, not empty): adds the ids of its path. The piece table is a fixed vocabulary and broadcast; rows that lie by bucket aren't shuffled.
+
+    An edge is one long: its end, its length (6 bits), its piece's id + 1 (20 bits; 0: a sign without a piece, never merged). What
+    pieces are made of is looked up by id in constants: lefts of a piece lie from its place in `left_at` to the next piece's, rights alike.
+    """
     known = piece_table(path)
     longest, first_byte = max(len(r[0]) for r in known), processor(path).piece_to_id("<0x00>")
-    part = "struct<n: int, formed: int, until: int>"
-    pieces = F.broadcast(rows.sparkSession.createDataFrame(known, f"piece string, id int, rank int, left array<{part}>, right array<long>"))
-    starts = rows.withColumn("end", F.explode(F.sequence(F.lit(1), F.length("run"))))
+    if longest > 63 or max(r[1] for r in known) >= NEVER:
+        raise ValueError("pieces of over 63 signs, or too many")
+    parts = {0: (0, [(1, 0, NEVER)], [NEVER])} | {i + 1: (rank, left, right) for _, i, rank, left, right in known}
+    every = [parts.get(i, (0, [], [])) for i in range(max(parts) + 1)]
+    ranks = constant(x[0] for x in every)
+    lefts, left_at = constant(n << 40 | formed << 20 | until for x in every for n, formed, until in x[1]), constant(np.cumsum([0, *(len(x[1]) for x in every)]).tolist())
+    rights, right_at = constant(r for x in every for r in x[2]), constant(np.cumsum([0, *(len(x[2]) for x in every)]).tolist())
+
+    pieces = F.broadcast(rows.sparkSession.createDataFrame([(r[0], r[1]) for r in known], "piece string, id int"))
+    # a number for each run: rows of edges are grouped by it, in the task that numbered them
+    starts = rows.withColumn("no", F.monotonically_increasing_id()).withColumn("end", F.explode(F.sequence(F.lit(1), F.length("run"))))
     spans = starts.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("end")))))
     found = spans.withColumn("piece", F.col("run").substr(F.col("end") - F.col("len") + 1, F.col("len"))).join(pieces, "piece", "left").filter("id IS NOT NULL OR len = 1")
-    # a sign without a piece: id -1, never merged
-    left = F.coalesce("left", F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("formed"), F.lit(NEVER).alias("until"))))
-    edge = F.struct("end", (F.col("end") - F.col("len")).alias("start"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("rank", F.lit(0)).alias("rank"), left.alias("left"), F.coalesce("right", F.array(F.lit(NEVER).cast("long"))).alias("right"))
-    grouped = found.groupBy("bucket", "run").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # the edges of each end
-    heads = F.filter(F.sequence(F.lit(0), F.size("edges") - 1), lambda i: (i == 0) | (F.get("edges", i)["end"] != F.get("edges", i - 1)["end"]))
-    grouped = grouped.withColumn("heads", heads).withColumn("ends", F.transform("heads", lambda h, k: F.slice("edges", h + 1, F.coalesce(F.get("heads", k + 1), F.size("edges")) - h))).select("bucket", "run", "ends")
-
-    def crossed(right: Column, e: Column) -> Column:
-        """Whether a part of the edge before and one of this edge would have merged across the start of this edge."""
-        p = e["start"]
-
-        def merges(l, c, r):
-            at = F.greatest(c["rank"], F.shiftright(r, 20).cast("int"), l["formed"])
-            return (at <= l["until"]) & (at < r.bitwiseAND(F.lit(NEVER)).cast("int"))
-
-        own = lambda l: F.exists(F.col("ends")[p + l["n"] - 1], lambda c: F.when(c["start"] < p, F.coalesce(merges(l, c, F.get(right, p - c["start"] - 1)), F.lit(False))).otherwise(False))
-        return F.exists(e["left"], own)
-
-    def step(s, edges):
-        """One end: which of its edges the best edge at its start can be followed by; there is only one. `own` are the numbers of the best edges so far."""
-        before = lambda e: F.get(F.col("ends")[e["start"] - 1], F.element_at(s["own"], e["start"] - s["at"] - 1))["right"]
-        best = F.array_max(F.transform(edges, lambda e, i: F.when(F.when(e["start"] == 0, True).otherwise(let(before(e), lambda right: ~crossed(right, e))), i)))
+    edge = F.shiftleft(F.col("end").cast("long"), 26).bitwiseOR(F.shiftleft(F.col("len").cast("long"), 20)).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))
+    grouped = found.groupBy("bucket", "no").agg(F.first("run").alias("run"), F.sort_array(F.collect_list(edge)).alias("edges"))
+
+    at = lambda values, i: F.get(values, i.cast("int"))
+    edge_at = lambda i: F.get("edges", i)
+    end_of = lambda e: F.shiftright(e, 26).cast("int")
+    start_of = lambda e: (F.shiftright(e, 26) - F.shiftright(e, 20).bitwiseAND(F.lit(63))).cast("int")
+    piece_of = lambda e: e.bitwiseAND(F.lit(NEVER)).cast("int")
+    # where the edges of each end begin among the sorted ones, and where the last end's stop
+    heads = F.filter(F.sequence(F.lit(0), F.size("edges") - 1), lambda i: (i == 0) | (end_of(edge_at(i)) != end_of(edge_at(i - 1))))
+    grouped = grouped.select("bucket", "run", "edges", F.concat(heads, F.array(F.size("edges"))).alias("heads"))
+    edges_of = lambda end: F.sequence(F.get("heads", end - 1), F.get("heads", end) - 1)
+
+    def crossed(before: Column, e: Column) -> Column:
+        """Whether a part of the piece `before` and one of this edge would have merged across the start of this edge."""
+        p, first = start_of(e), at(right_at, before)
+
+        def merges(l, c):
+            k = p - start_of(c) - 1
+
+            def timed(r):
+                when = F.greatest(at(ranks, piece_of(c)), F.shiftright(r, 20), F.shiftright(l, 20).bitwiseAND(F.lit(NEVER)))
+                return (when <= l.bitwiseAND(F.lit(NEVER))) & (when < r.bitwiseAND(F.lit(NEVER)))
+
+            return F.when((k >= 0) & (first + k < at(right_at, before + 1)), let(at(rights, first + k), timed)).otherwise(F.lit(False))
+
+        own = lambda l: F.exists(edges_of(p + F.shiftright(l, 40).cast("int")), lambda i: let(edge_at(i), lambda c: merges(l, c)))
+        return F.exists(F.sequence(at(left_at, piece_of(e)), at(left_at, piece_of(e) + 1) - 1), lambda i: let(at(lefts, i), own))
+
+    def step(s, end):
+        """One end: which of its edges the best edge at its start can be followed by; there is only one. `own` are the best edges so far, by their places."""
+        before = lambda e: piece_of(edge_at(F.element_at(s["own"], start_of(e) - s["at"] - 1)))
+        fits = lambda e: F.when(start_of(e) == 0, True).otherwise(let(before(e), lambda b: ~crossed(b, e)))
+        best = F.array_max(F.filter(edges_of(end), lambda i: let(edge_at(i), fits)))
         return F.struct((s["at"] + 1).alias("at"), F.concat(s["own"], F.array(best)).alias("own"))
 
+    n = F.length("run")
+
     def block(s, k):
-        inner = F.aggregate(F.slice("ends", k * BLOCK + 1, F.lit(BLOCK)), F.struct(s["at"].alias("at"), s["tail"].alias("own")), step)
+        inner = F.aggregate(F.sequence(k * BLOCK + 1, F.least(n, (k + 1) * BLOCK)), F.struct(s["at"].alias("at"), s["tail"].alias("own")), step)
 
         def kept(r):  # what a piece may reach back to goes along
-            n = F.size(r["own"])
-            return F.struct(r["at"].alias("at"), F.slice(r["own"], F.greatest(F.lit(1), n - longest + 1), F.lit(longest)).alias("tail"), F.concat(s["out"], F.array(F.slice(r["own"], F.size(s["tail"]) + 1, n))).alias("out"))
+            size = F.size(r["own"])
+            return F.struct(r["at"].alias("at"), F.slice(r["own"], F.greatest(F.lit(1), size - longest + 1), F.lit(longest)).alias("tail"), F.concat(s["out"], F.array(F.slice(r["own"], F.size(s["tail"]) + 1, size))).alias("out"))
 
         return let(inner, kept)
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("tail"), F.array().cast("array<array<int>>").alias("out"))
-    folded = grouped.withColumn("out", F.aggregate(F.sequence(F.lit(0), F.floor((F.size("ends") - 1) / BLOCK).cast("int")), start, block)["out"])
+    folded = grouped.withColumn("out", F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), start, block)["out"])
 
     def back(s, k):  # from the last end to the first; `end` is where the next edge of the path ends
         def edge_of(e):
-            return F.struct((s["at"] - 1).alias("at"), e["start"].alias("end"), F.concat(F.array(F.shiftleft(e["start"].cast("long"), 20).bitwiseOR((e["id"] + 1).cast("long"))), s["own"]).alias("own"))
+            return F.struct((s["at"] - 1).alias("at"), start_of(e).alias("end"), F.concat(F.array(F.shiftleft(start_of(e).cast("long"), 20).bitwiseOR(piece_of(e).cast("long"))), s["own"]).alias("own"))
 
-        return F.when(s["at"] == s["end"], let(F.get(F.col("ends")[s["at"] - 1], k), edge_of)).otherwise(F.struct((s["at"] - 1).alias("at"), s["end"].alias("end"), s["own"].alias("own")))
+        return F.when(s["at"] == s["end"], let(edge_at(k), edge_of)).otherwise(F.struct((s["at"] - 1).alias("at"), s["end"].alias("end"), s["own"].alias("own")))
 
     def back_block(s, b):
         inner = F.aggregate(F.reverse(b), F.struct(s["at"].alias("at"), s["end"].alias("end"), F.array().cast("array<long>").alias("own")), back)
         return let(inner, lambda r: F.struct(r["at"].alias("at"), r["end"].alias("end"), F.concat(F.array(r["own"]), s["out"]).alias("out")))
 
-    n = F.length("run")
     paths = folded.select("bucket", "run", F.flatten(F.aggregate(F.reverse("out"), F.struct(n.alias("at"), n.alias("end"), F.array().cast("array<array<long>>").alias("out")), back_block)["out"]).alias("path"))
 
     def ids_of(e):
@@ -247,7 +276,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     docs is read twice and has to give its rows in the same order: a scan or a written table. Null and empty
     texts have no pieces, and a text's own spacing sign is a space. Rows that repeat each get a row. No rows give none. A run without a
-    place where no piece can go on (letters without a space, say) is one row of the fold: some 300 bytes a sign.
+    place where no piece can go on (letters without a space, say) is one row of the fold: 8 bytes an edge, more while they are gathered.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
