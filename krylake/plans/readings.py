@@ -9,7 +9,7 @@ from krylake.functions import fields as f
 from krylake.plans.fields import PRESSURE, SIZES, TEMPERATURE, XY, sensors, sizes
 from krylake.plans.registry import query
 from krylake.plans.tables import table
-from krylake.streaming import assimilation as a
+from krylake.streaming.replay import drained, replay
 
 
 @query(f"{XY}, t AS (SELECT unnest(range(6))::DOUBLE AS t), v AS (SELECT 'temperature' AS field, t, {TEMPERATURE.format(t='t')} AS v FROM s, t UNION ALL SELECT 'pressure', t, {PRESSURE.format(t='t')} FROM s, t) SELECT field, t, round(min(v), 6) AS low, round(max(v), 6) AS high, round(stddev_pop(v), 6) AS spread, round(max(v) - min(v), 6) AS span, CASE field WHEN 'temperature' THEN '°C' ELSE 'hPa' END AS unit FROM v GROUP BY field, t")
@@ -81,16 +81,14 @@ def parameter_sweep(spark, sf_dir):
 @query("SELECT user_id, event_type, count(*) AS frames FROM (SELECT DISTINCT user_id, event_type, time_bucket(INTERVAL 1 DAY, ts) FROM events) GROUP BY user_id, event_type")
 def stream_frame_dedupe(spark, sf_dir):
     """A frame is sent on when its version (user, type and day) is new; the state forgets versions behind the watermark."""
-    table(spark, sf_dir, "events")
-    s = a.replay(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts")).withWatermark("ts", "400 days").dropDuplicatesWithinWatermark(["user_id", "event_type", "day"])
-    return a.drained(s.select("user_id", "event_type", "day")).groupBy("user_id", "event_type").agg(F.count("*").alias("frames"))
+    s = replay(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts")).withWatermark("ts", "400 days").dropDuplicatesWithinWatermark(["user_id", "event_type", "day"])
+    return drained(s.select("user_id", "event_type", "day")).groupBy("user_id", "event_type").agg(F.count("*").alias("frames"))
 
 
 @query("SELECT a.event_id AS bought, count(*) AS views FROM events a JOIN events b ON a.event_type = 'purchase' AND b.event_type = 'view' AND a.user_id = b.user_id AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL 2 DAY GROUP BY a.event_id")
 def stream_views_before_purchase(spark, sf_dir):
     """Extension: two streams joined by user within two days, both under watermarks."""
-    table(spark, sf_dir, "events")
-    one = a.replay(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("bought"), F.col("user_id").alias("u"), F.col("ts").alias("at")).withWatermark("at", "3 days")
-    two = a.replay(spark, sf_dir, "events").filter("event_type = 'view'").select("user_id", "ts").withWatermark("ts", "3 days")
+    one = replay(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("bought"), F.col("user_id").alias("u"), F.col("ts").alias("at")).withWatermark("at", "3 days")
+    two = replay(spark, sf_dir, "events").filter("event_type = 'view'").select("user_id", "ts").withWatermark("ts", "3 days")
     near = (F.col("u") == F.col("user_id")) & (F.col("ts") <= F.col("at")) & (F.col("ts") > F.col("at") - F.expr("INTERVAL 2 DAYS"))
-    return a.drained(one.join(two, near).select("bought")).groupBy("bought").agg(F.count("*").alias("views"))
+    return drained(one.join(two, near).select("bought")).groupBy("bought").agg(F.count("*").alias("views"))

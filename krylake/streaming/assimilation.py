@@ -1,79 +1,163 @@
-"""Streams: trails by key, latest-wins snapshots, expiring incidents, windowed counts."""
+"""Streams with typed state: trails by key, latest-wins snapshots, expiring incidents, settings from commands, windows.
 
-import json
-import uuid
+State is lists, maps and values of typed columns, one key at a time, each of a size that doesn't grow with the stream.
+What a key's state says depends on the rows, not on how they were cut into batches: rows are ordered by (ts, event_id)
+within a batch, and those of an earlier time that a later batch brings are put in their place.
+"""
+
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from krylake.plans.tables import shared_dir
+from krylake.streaming.replay import drained
 
+PANELS_EACH, MOST_PANELS = 20, 500
+KEPT_COMMANDS = MOST_PANELS // PANELS_EACH  # more of them change nothing: the number of panels is clamped
 
-def replay(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
-    """A table's files as a stream, event time as a timestamp for watermarks."""
-    path = f"{sf_dir}/{name}.parquet"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
-    stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
+def by_time(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
 
-def drained(stream: DataFrame, mode: str = "append", each=None) -> DataFrame:
-    """Everything a stream gives until its input ends, as a table in the shared folder."""
-    spark = stream.sparkSession
-    out = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}-progress")
-    if each is None:
-        writer.format("parquet").option("path", out).start().awaitTermination()
-    else:
-        writer.foreachBatch(lambda df, n: each(df, n).write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
-    return spark.read.parquet(out)
 
+def micros(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64")
 
-def trails(events: DataFrame, key: str, keep: int = 80) -> DataFrame:
-    """(key, n, newest, mean) after each batch: state holds the last `keep` (ts, value) of a key, whatever order they come in."""
 
-    def update(k, batches, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else []
-        for pdf in batches:
-            held += [[int(t.value // 1000), int(i), float(v)] for t, i, v in zip(pdf["ts"], pdf["event_id"], pdf["value"], strict=True)]
-        held = sorted(held)[-keep:]
-        state.update((json.dumps(held),))
-        yield pd.DataFrame({key: [k[0]], "n": [len(held)], "newest": [held[-1][1]], "mean": [sum(x[2] for x in held) / len(held)]})
+class Trails(StatefulProcessor):
+    """List state: the last `keep` (time, event, value) of a key."""
 
-    return events.select(key, "ts", "event_id", "value").groupBy(key).applyInPandasWithState(update, f"{key} long, n long, newest long, mean double", "held string", "update", GroupStateTimeout.NoTimeout)
+    def __init__(self, key: str, keep: int):
+        self.key, self.keep = key, keep
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "at long, event_id long, value double")
 
-def latest_wins(events: DataFrame, key: str) -> DataFrame:
-    """The last snapshot of each key: a batch hands on only its newest rows, those between are dropped."""
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = by_time(rows)
+        new = pd.DataFrame({"at": micros(new["ts"]), "event_id": new["event_id"], "value": new["value"]}).tail(self.keep)
+        old = pd.DataFrame(list(self.held.get()), columns=["at", "event_id", "value"])
+        both = (pd.concat([old, new]) if len(old) else new).sort_values(["at", "event_id"], kind="stable").tail(self.keep)
+        self.held.put(list(both.astype({"at": "int64", "event_id": "int64", "value": "float64"}).itertuples(index=False, name=None)))
+        yield pd.DataFrame({self.key: [key[0]], "n": [len(both)], "newest": [int(both["event_id"].iloc[-1])], "mean": [float(both["value"].mean())]})
 
-    def newest(df: DataFrame, _: int) -> DataFrame:
-        return df.groupBy(key).agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
+    def close(self) -> None:
+        pass
 
-    return drained(events, each=newest).groupBy(key).agg(F.max("m").alias("m")).select(key, F.col("m.event_id").alias("event_id"), F.col("m.value").alias("value"))
 
+def trails(events: DataFrame, key: str, keep: int = 80) -> DataFrame:
+    """(key, n, newest, mean) of each key that a batch has rows of: of its last `keep` values, whatever order they come in."""
+    return events.select(key, "ts", "event_id", "value").groupBy(key).transformWithStateInPandas(Trails(key, keep), f"{key} long, n long, newest long, mean double", "Update", "None")
 
-def active_incidents(events: DataFrame, key: str, starts: str, clears: str, seconds: int) -> DataFrame:
-    """(key, active) at the stream's end of each key: incidents that began after the last clearing and haven't lasted `seconds` yet.
 
-    The state of a key is the times of its incidents since the last clearing, pruned by the key's newest event."""
+def latest_wins(events: DataFrame, key: str) -> DataFrame:
+    """The last snapshot of each key: a batch hands on only its newest rows, those between are dropped."""
 
-    def update(k, batches, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else [0, []]
-        rows = sorted((int(t.value // 1000), int(i), e) for pdf in batches for t, i, e in zip(pdf["ts"], pdf["event_id"], pdf["event_type"], strict=True))
-        for t, _, kind in rows:
-            held[0] = max(held[0], t)
-            held[1] = [] if kind == clears else [*held[1], t] if kind == starts else held[1]
-        held[1] = [t for t in held[1] if held[0] - t < seconds * 1_000_000]
-        state.update((json.dumps(held),))
-        yield pd.DataFrame({key: [k[0]], "at": [held[0]], "active": [len(held[1])]})
+    def newest(df: DataFrame, _: int) -> DataFrame:
+        return df.groupBy(key).agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
 
-    return events.select(key, "ts", "event_id", "event_type").groupBy(key).applyInPandasWithState(update, f"{key} long, at long, active long", "held string", "update", GroupStateTimeout.NoTimeout)
+    return drained(events, each=newest).groupBy(key).agg(F.max("m").alias("m")).select(key, F.col("m.event_id").alias("event_id"), F.col("m.value").alias("value"))
 
 
-def windowed(events: DataFrame, width: str, delay: str) -> DataFrame:
-    """Counts and sums by tumbling window and type; late events beyond `delay` are dropped, windows are given once closed."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+class Incidents(StatefulProcessor):
+    """Map state: the incidents of a key (event to time of its beginning) since its last clearing, whose time is a value; a timer ends each."""
+
+    def __init__(self, key: str, starts: str, clears: str, seconds: int):
+        self.key, self.starts, self.clears, self.span = key, starts, clears, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.begun = handle.getMapState("begun", "event_id long", "at long")
+        self.seen = handle.getValueState("seen", "newest long, cleared long, cleared_by long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = by_time(rows)
+        new = new.assign(at=micros(new["ts"]))
+        newest, cleared, cleared_by = self.seen.get() if self.seen.exists() else (0, -(1 << 62), -1)
+        newest = max(newest, int(new["at"].iloc[-1]))
+        ends = new[new["event_type"] == self.clears]
+        if len(ends):
+            cleared, cleared_by = max((cleared, cleared_by), (int(ends["at"].iloc[-1]), int(ends["event_id"].iloc[-1])))
+        self.seen.update((newest, cleared, cleared_by))
+        begun = new[(new["event_type"] == self.starts) & (new["at"] > newest - self.span)]
+        for event, at in zip(begun["event_id"].tolist(), begun["at"].tolist(), strict=True):
+            self.begun.updateValue((event,), (at,))
+            self.handle.registerTimer(-(-(at + self.span) // 1000))
+        active = 0
+        for (event,), (at,) in list(self.begun.iterator()):
+            if (at, event) <= (cleared, cleared_by) or at <= newest - self.span:
+                self.begun.removeKey((event,))
+            else:
+                active += 1
+        yield pd.DataFrame({self.key: [key[0]], "at": [newest], "active": [active]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Incidents that have lasted go, also where a key has no more events; what has been told of the key at its newest event stands."""
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for (event,), (at,) in list(self.begun.iterator()):
+            if at + self.span <= now:
+                self.begun.removeKey((event,))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def active_incidents(events: DataFrame, key: str, starts: str, clears: str, seconds: int, delay: str = "1 day") -> DataFrame:
+    """(key, at, active) of each key that a batch has rows of: at its newest event, the incidents that began after its last clearing and haven't lasted `seconds` yet.
+
+    A clearing that comes late ends what began before it; an incident that comes late counts unless it was cleared since. Timers by event time,
+    under a watermark of `delay`, free the state of keys without further events."""
+    timed = events.select(key, "ts", "event_id", "event_type").withWatermark("ts", delay)
+    return timed.groupBy(key).transformWithStateInPandas(Incidents(key, starts, clears, seconds), f"{key} long, at long, active long", "Update", "EventTime")
+
+
+class Settings(StatefulProcessor):
+    """Map state: a shape's newest commands since it was removed (event to value); a value: when that was. Older ones are forgotten once they can't change a clamped setting."""
+
+    def __init__(self, key: str, removes: str, ttl_ms: int | None):
+        self.key, self.removes, self.ttl = key, removes, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.commands = handle.getMapState("commands", "event_id long", "value double", self.ttl)
+        self.removed = handle.getValueState("removed", "event_id long", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        gone = self.removed.get()[0] if self.removed.exists() else -1
+        gone = max(gone, int(new.loc[new["action"] == self.removes, "event_id"].max()) if (new["action"] == self.removes).any() else -1)
+        if gone >= 0:
+            self.removed.update((gone,))
+        held = {event: value for (event,), (value,) in self.commands.iterator()}
+        own = new[new["action"] != self.removes]
+        both = held | dict(zip(own["event_id"].tolist(), own["value"].tolist(), strict=True))
+        kept = dict(sorted((e, v) for e, v in both.items() if e > gone)[-KEPT_COMMANDS:])
+        for event in held.keys() - kept.keys():
+            self.commands.removeKey((event,))
+        for event in kept.keys() - held.keys():
+            self.commands.updateValue((event,), (kept[event],))
+        last = max(kept, default=None)
+        yield pd.DataFrame({self.key: [key[0]], "event_id": [max([gone, *kept])], "alive": [bool(kept)], "value": [None if last is None else kept[last]], "n": [len(kept)]}).astype({"value": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def settings(commands: DataFrame, key: str, removes: str, ttl_ms: int | None = None) -> DataFrame:
+    """(key, event_id, alive, value, n) of each shape that a batch commands: whether it is there, its last value and its commands since it was removed, up to KEPT_COMMANDS.
+
+    commands: key, event_id, action, value; event_id orders them. `ttl_ms`: forget shapes without commands for so long."""
+    return commands.select(key, "event_id", "action", F.col("value").cast("double")).groupBy(key).transformWithStateInPandas(Settings(key, removes, ttl_ms), f"{key} long, event_id long, alive boolean, value double, n long", "Update", "ProcessingTime" if ttl_ms else "None")
+
+
+def windowed(events: DataFrame, width: str, delay: str, every: str | None = None) -> DataFrame:
+    """Counts and sums by window of `width` (a new one `every` so often, which may overlap) and type; late events beyond `delay` are dropped, windows are given once closed."""
+    w = F.window("ts", width, every) if every else F.window("ts", width)
+    return events.withWatermark("ts", delay).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def last_of(updates: DataFrame, key: str, *columns: str) -> DataFrame:
+    """What the last batch that has a row of a key says of it."""
+    return updates.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in columns])
