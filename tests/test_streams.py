@@ -1,8 +1,8 @@
 """Streams give what SQL gives, over one file and over several that are dealt by time or at random; state takes rows in any order."""
 
 import random
+from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +65,7 @@ def test_settings_in_any_order(spark):
 
 def test_incidents_and_trails_in_any_order(spark):
     rng = random.Random(6)
-    rows = [(k % 3, e, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=e), rng.choice(["error"] * 5 + ["signup", "view"]), float(e)) for e, k in enumerate(rng.choices(range(3), k=150))]
+    rows = [(k % 3, e, datetime(2024, 1, 1) + timedelta(minutes=e), rng.choice(["error"] * 5 + ["signup", "view"]), float(e)) for e, k in enumerate(rng.choices(range(3), k=150))]
     ddl = "u long, event_id long, ts timestamp, event_type string, value double"
     for seed in (1, 2):
         out = drained(a.active_incidents(shuffled(spark, rows, ddl, seed), "u", "error", "signup", 1800, "1 day"), "update")
@@ -81,7 +81,7 @@ def test_incidents_and_trails_in_any_order(spark):
 
 def test_timers_free_the_state_of_idle_keys(spark):
     """A key without further events keeps what was told of it; its state goes once the watermark is past its incidents."""
-    rows = [(1, 1, pd.Timestamp("2024-01-01"), "error")] + [(2, 2 + k, pd.Timestamp("2024-01-03") + pd.Timedelta(days=k), "view") for k in range(6)]
+    rows = [(1, 1, datetime(2024, 1, 1), "error")] + [(2, 2 + k, datetime(2024, 1, 3) + timedelta(days=k), "view") for k in range(6)]
     df = spark.createDataFrame(rows, "u long, event_id long, ts timestamp, event_type string")
     out = drained(a.active_incidents(streamed(spark, staged(df, F.col("ts"), 5), df), "u", "error", "signup", 3600, "1 hour"), "update")
     assert {r["u"]: r["active"] for r in a.last_of(out, "u", "active").collect()} == {1: 1, 2: 0}
