@@ -11,10 +11,10 @@ length: the number of such pieces in earlier parts of the table, and before it i
 
 import bisect
 import functools
-import os
+import re
+import struct
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,41 +31,72 @@ PIECES_DDL = "part int, before long, doc_id long, piece int, start long, length
 PLAN_DDL = "of_length long, low long, high long, each long, first long, at long"
 
 
-@functools.cache
-def encoder(path: str):
-    """Texts to ids of a tokenizer.json whose tokens never hold white space: each word between spaces is encoded by itself, and common ones once."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: What the words are made of whose ids are put together here: ASCII and the Latin letters from U+00C0 to U+017F (but U+0130, whose small form is two signs). They are their own normal form.
+PLAIN = re.compile(r"[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]*")
+#: The tokenizer's own split, for such words.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+|[0-9]|[^\x09-\x0D\x20a-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+BYTES = dict(zip(range(256), (chr(b) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD else "" for b in range(256)), strict=True))  # byte-level BPE writes these bytes as themselves
+BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not BYTES[b])}  # and the others from 256 on
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Words(dict):
+    """Ids of a word without white space, as bytes: looked up, or found by the tokenizer and remembered."""
 
-    model, known, blanks = Tokenizer.from_file(path), {"": []}, str.maketrans("\n\r\t", "   ")
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        if len(known) > CACHE:
-            known.clear()
-            known[""] = []
-        words = [x.translate(blanks).split(" ") for x in texts]
-        new = list({w for own in words for w in own if w not in known})
-        own = dict(zip(new, (e.ids for e in model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known.update((w, ids) for w, ids in own.items() if len(w) <= WORD)
-        return [[i for w in x for i in (known[w] if w in known else own[w])] for x in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.parts, self[""] = self.tokenizer.model, {}, b""
 
-    return encode
+    def part(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            if len(self.parts) > CACHE:
+                self.parts.clear()
+            letters = text if text.isascii() and text.isprintable() else "".join(map(BYTES.__getitem__, text.encode()))
+            ids = packed([t.id for t in self.model.tokenize(letters)])
+            if len(text) <= WORD:
+                self.parts[text] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        if "<|" not in word and PLAIN.fullmatch(word):
+            ids = b"".join(map(self.part, SPLIT.findall(word.lower())))
+        else:  # tokens of its own, signs with a normal form: by the tokenizer as a whole
+            ids = packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(self) > CACHE:
+            self.clear()
+            self[""] = b""
+        if len(word) <= WORD:
+            self[word] = ids
+        return ids
+
+
+@functools.cache
+def encoder(path: str):
+    """A text to its ids (little-endian, 32 bits each) by a tokenizer.json that lowers letters and drops white space: no token spans two words, so each is encoded by itself."""
+    words = Words(path)
+    return lambda text: b"".join(map(words.__getitem__, text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")))
 
 
 def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """A row a piece: its ids (little-endian, 32 bits each) and how many pieces of its length came before it in its part; written, so that later reads agree."""
 
     def run(batches):
-        encode, part, before = encoder(path), TaskContext.get().partitionId(), Counter()
+        encode, part, before, end = encoder(path), TaskContext.get().partitionId(), Counter(), packed([END])
         for b in batches:
             for first in range(0, b.num_rows, 64):
                 own = b.slice(first, 64)
                 out = []
-                for doc_id, ids in zip(own.column(0).to_pylist(), encode([x or "" for x in own.column(1).to_pylist()]), strict=True):
-                    ids = np.array([*ids, END], "<u4")
-                    for start in range(0, len(ids), window):
-                        piece = ids[start : start + window]
-                        out.append((part, before[len(piece)], doc_id, start // window, start, len(piece), len(ids), piece.tobytes()))
+                for doc_id, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
+                    ids = encode(text or "") + end
+                    for start in range(0, len(ids) // 4, window):
+                        piece = ids[4 * start : 4 * (start + window)]
+                        out.append((part, before[len(piece)], doc_id, start // window, start, len(piece) // 4, len(ids) // 4, piece))
                         before[len(piece)] += 1
                 yield batch(PIECES, *zip(*out, strict=True))
 
@@ -115,7 +146,7 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, doc_tokens, ids, sequence_id, offset) of all rows of `docs`; `ids` are little-endian 32-bit numbers.
+    """Pieces (doc_id, piece, start, length, doc_tokens, ids, ids_crc32, sequence_id, offset) of all rows of `docs`; `ids` are little-endian 32-bit numbers.
 
     docs: doc_id, text; other columns are ignored, whatever their names. A null or empty text is its end token
     alone. Only documents longer than `window` are cut, every `window` tokens. Rows that repeat, and rows
@@ -123,7 +154,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
     To the driver comes one count a length, at most `window`; the plan, of a size that follows from them, is broadcast.
     """
-    pieces = cut(docs, path, window)
+    pieces = cut(docs, path, window).withColumn("ids_crc32", F.crc32("ids"))  # before the join, which then needn't carry the ids of who asks for no more
     sums = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("of").orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("part").alias("of_part"), F.col("length").alias("of"), "n").withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
@@ -132,7 +163,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     ranked = pieces.join(bases, (F.col("part") == F.col("of_part")) & (F.col("length") == F.col("of"))).withColumn("rank", F.col("base") + F.col("before"))
     found = ranked.join(F.broadcast(slots), (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     place = F.col("rank") - F.col("low")
-    return found.select("doc_id", "piece", "start", "length", "doc_tokens", "ids", (F.col("first") + F.floor(place / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + place % F.col("each") * F.col("length")).alias("offset"))
+    return found.select("doc_id", "piece", "start", "length", "doc_tokens", "ids", "ids_crc32", (F.col("first") + F.floor(place / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + place % F.col("each") * F.col("length")).alias("offset"))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -145,4 +176,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     p = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "doc_tokens")
+    return p.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
