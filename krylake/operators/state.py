@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from krylake.operators.halo import SIZE, numbered, over_last
+
 
 def last_n(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The newest n rows of each key, with their rank (1 is the newest). Ranks above n are dropped before the shuffle too."""
@@ -16,16 +18,18 @@ def latest(rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     return picked.select(key, F.col(f"m.{order}").alias(order), *[F.col(f"m.{c}").alias(c) for c in columns])
 
 
-def sparkline(rows: DataFrame, key: str, order: str, value: str, n: int = 80) -> DataFrame:
+def sparkline(rows: DataFrame, key: str, order: str, value: str, n: int = 80, size: int = SIZE) -> DataFrame:
     """Adds the number, mean, minimum and maximum of the last n values of a key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)
-    return rows.withColumn("held", F.count("*").over(w)).withColumn("mean", F.avg(value).over(w)).withColumn("low", F.min(value).over(w)).withColumn("high", F.max(value).over(w))
+
+    def last(f):
+        return lambda w: f.over(w.rowsBetween(-(n - 1), 0))
+
+    return over_last(rows, key, [order], n, {"held": last(F.count("*")), "mean": last(F.avg(value)), "low": last(F.min(value)), "high": last(F.max(value))}, size)
 
 
-def stagnation(rows: DataFrame, key: str, order: str, value: str, gain: float = 0.01) -> DataFrame:
+def stagnation(rows: DataFrame, key: str, order: str, value: str, gain: float = 0.01, size: int = SIZE) -> DataFrame:
     """Adds `stalled`: the value is no more than `gain` below the one before."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("stalled", F.coalesce(F.col(value) > before * (1.0 - gain), F.lit(False)))
+    return over_last(rows, key, [order], 2, {"stalled": lambda w: F.coalesce(F.col(value) > F.lag(value).over(w) * (1.0 - gain), F.lit(False))}, size)
 
 
 def coalesced(commands: DataFrame, batch: Column, key: str, order: str, value: str) -> DataFrame:
@@ -33,7 +37,11 @@ def coalesced(commands: DataFrame, batch: Column, key: str, order: str, value: s
     return commands.groupBy(batch.alias("batch"), key).agg(F.max_by(value, order).alias(value))
 
 
-def rotation(rows: DataFrame, key: str, order: str, slots: int) -> DataFrame:
+def rotation(rows: DataFrame, key: str, order: str, slots: int, size: int = SIZE) -> DataFrame:
     """Adds the slot that each event of a key takes: the first event slot 0, and round again."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("slot", ((F.row_number().over(w) - 1) % slots).cast("long"))
+    return numbered(rows, key, [order], "_k", size).withColumn("slot", F.col("_k") % slots).drop("_k")
+
+
+def thinned(rows: DataFrame, key: str, order: str, step: int, size: int = SIZE) -> DataFrame:
+    """Every step-th row of a key, from its first on."""
+    return numbered(rows, key, [order], "_k", size).filter(F.col("_k") % step == 0).drop("_k")

@@ -2,10 +2,10 @@
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from krylake.functions import fields as f
+from krylake.operators.state import thinned
 from krylake.plans.fields import PRESSURE, SIZES, TEMPERATURE, XY, sensors, sizes
 from krylake.plans.registry import query
 from krylake.plans.tables import table
@@ -40,8 +40,7 @@ def residual_by_size(spark, sf_dir):
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) WHERE k % 10 = 0")
 def thinned_history(spark, sf_dir):
     """Every tenth event of a user."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return table(spark, sf_dir, "events").withColumn("k", k).filter("k % 10 = 0").select("user_id", "event_id", "value")
+    return thinned(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", 10)
 
 
 @query(f"{SIZES} SELECT l_shipmode AS kind, n FROM g WHERE n::DOUBLE * n * 12 <= 2e7")
