@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from krylake.plans.tables import written
-
 ROWS = 1024
 
 
@@ -56,34 +54,3 @@ def kernel_apply(queries: DataFrame, train: DataFrame, kernel: Callable, value:
         return pd.DataFrame({"id": li, "y": y})
 
     return pairwise(queries, train, answer, "id long, y double", value, rows).groupBy("id").agg(F.sum("y").alias("y"))
-
-
-def nearest(queries: DataFrame, targets: DataFrame, cell: float | None = None) -> DataFrame:
-    """(id, nearest_id, distance) for points (id, p) of the plane: ties go to the smallest id.
-
-    A grid of square cells is the index: a query meets the targets of its own and the eight cells about it. What it
-    finds is final if it is no further away than a cell is wide; the other queries go on with cells twice as wide.
-    So a level holds the queries that the one before left, and no side is broadcast. Without targets no query has a row.
-    """
-    own, others = (d.select("id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")) for d in (queries, targets))
-    n, west, east, south, north = others.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if not n:
-        return own.select("id", F.col("id").alias("nearest_id"), F.lit(0.0).alias("distance")).limit(0)
-    low_x, high_x, low_y, high_y = own.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    extent = max(max(east, high_x or east) - min(west, low_x or west), max(north, high_y or north) - min(south, low_y or south), 1e-12)
-    cell = cell or extent / max(1.0, n**0.5)
-    done, left = None, own
-    while True:
-        at = lambda c, w=cell: F.floor(F.col(c) / w)
-        near = left.withColumn("gx", F.explode(F.sequence(at("x") - 1, at("x") + 1))).withColumn("gy", F.explode(F.sequence(at("y") - 1, at("y") + 1)))
-        there = others.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), at("x").alias("gx"), at("y").alias("gy"))
-        d2 = F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)
-        found = near.join(there, ["gx", "gy"], "left").groupBy("id", "x", "y").agg(F.min(F.when(F.col("other").isNotNull(), F.struct(d2.alias("d2"), F.col("other").alias("nearest_id")))).alias("m"))
-        found = written(found)
-        final = F.coalesce(F.col("m.d2") <= cell * cell, F.lit(False)) | F.lit(cell > extent)
-        own_done = found.filter(final).select("id", "m.nearest_id", F.sqrt("m.d2").alias("distance"))
-        done = own_done if done is None else done.unionByName(own_done)
-        left = found.filter(~final).select("id", "x", "y")
-        if cell > extent or left.isEmpty():
-            return done
-        cell *= 2

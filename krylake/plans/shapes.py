@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from krylake.functions import fields as f
 from krylake.functions.kernels import rbf_block
 from krylake.operators import spatial as s
-from krylake.operators.blocks import kernel_apply, nearest
+from krylake.operators.blocks import kernel_apply
 from krylake.operators.linear import blocks_product, coordinates_product, from_blocks, real_blocks
+from krylake.operators.quadtree import nearest
 from krylake.plans.fields import INCIDENTS, XY, T, incidents, sensors
 from krylake.plans.registry import query
 from krylake.plans.spatial import SUP, suppliers

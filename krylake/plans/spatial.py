@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from krylake.functions import fields as f
 from krylake.operators import spatial as s
-from krylake.operators.blocks import nearest
+from krylake.operators.quadtree import masked, nearest
 from krylake.plans.fields import XY, sensors
 from krylake.plans.registry import query
 from krylake.plans.tables import table
@@ -46,7 +46,7 @@ def nearest_road(spark, sf_dir):
 @query(f"{XY}, {SUP} SELECT s.id AS id, count(p.id) > 0 AS interior FROM s LEFT JOIN p ON s.x > p.x - p.w / 2 AND s.x < p.x + p.w / 2 AND s.y > p.y - p.h / 2 AND s.y < p.y + p.h / 2 GROUP BY s.id")
 def point_in_polygon(spark, sf_dir):
     polygons = suppliers(spark, sf_dir).select(s.rect_corners(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("corners"))
-    return s.masked(sensors(spark, sf_dir), polygons).select("id", "interior")
+    return masked(sensors(spark, sf_dir), polygons).select("id", "interior")
 
 
 EDGES = """e AS (SELECT id, unnest([{ex: x - w / 2, ey: y - h / 2, dx: w, dy: 0.0, t0: 0.0, t1: w}, {ex: x + w / 2, ey: y - h / 2, dx: 0.0, dy: h, t0: w, t1: w + h}, {ex: x + w / 2, ey: y + h / 2, dx: -w, dy: 0.0, t0: w + h, t1: 2 * w + h}, {ex: x - w / 2, ey: y + h / 2, dx: 0.0, dy: -h, t0: 2 * w + h, t1: 2 * w + 2 * h}], recursive := true), w, h FROM p),

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from krylake.functions import fields as f
-from krylake.operators.blocks import kernel_apply, nearest
+from krylake.operators.blocks import kernel_apply
+from krylake.operators.quadtree import nearest
 from krylake.operators.spatial import ellipse_panels, rect_panels, wave_power
 from krylake.sources.points import advanced, fleet, grid, synthetic
 
