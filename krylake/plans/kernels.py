@@ -54,7 +54,7 @@ def kernel_matvec(spark, sf_dir):
     return kernel_apply(p, p, rbf_block(GAMMA), "v", REG).select(F.col("id").alias("vec_id"), F.round("y", 6).alias("y"))
 
 
-@query(PAIRS + f"SELECT round(max(CASE WHEN i <> j THEN exp(-{GAMMA} * d2) END), 6) AS largest, round(min(CASE WHEN i = j THEN exp(-{GAMMA} * d2) + {REG} END), 6) AS diagonal, 0.0::DOUBLE AS asymmetry FROM d")
+@query(PAIRS + f"SELECT round(max(CASE WHEN i <> j THEN exp(-{GAMMA} * d2) END), 6) AS largest, round(min(CASE WHEN i = j THEN exp(-{GAMMA} * d2) + {REG} END), 6) AS diagonal, round((SELECT max(abs(exp(-{GAMMA} * x.d2) - exp(-{GAMMA} * y.d2))) FROM d x JOIN d y ON x.i = y.j AND x.j = y.i), 9) AS asymmetry FROM d")
 def kernel_symmetry(spark, sf_dir):
     def answer(li, lp, ri, rp, _):
         k, same = rbf_block(GAMMA)(lp, rp), li[:, None] == ri[None, :]

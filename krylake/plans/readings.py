@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from krylake.functions import fields as f
 from krylake.operators.state import thinned
-from krylake.plans.fields import PRESSURE, SIZES, TEMPERATURE, XY, sensors, sizes
+from krylake.plans.fields import PRESSURE, TEMPERATURE, XY, sensors
 from krylake.plans.registry import query
 from krylake.plans.tables import table
 from krylake.streaming.replay import drained, replay
@@ -43,10 +43,11 @@ def thinned_history(spark, sf_dir):
     return thinned(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", 10)
 
 
-@query(f"{SIZES} SELECT l_shipmode AS kind, n FROM g WHERE n::DOUBLE * n * 12 <= 2e7")
+@query("SELECT l_partkey AS part, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*)::DOUBLE * count(*) * 12 <= 12 * 30 * 30")
 def feasible_sizes(spark, sf_dir):
-    """The systems of which both copies of the matrix fit 20 MB."""
-    return sizes(spark, sf_dir).filter(f.matrix_bytes(F.col("n"))[2] <= 2e7).select(F.col("l_shipmode").alias("kind"), "n")
+    """The systems, one a part with its lines as unknowns, of which both copies of the matrix fit 10,800 bytes."""
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("n"))
+    return g.filter(f.matrix_bytes(F.col("n"))[2] <= 12 * 30 * 30)
 
 
 @query("SELECT l_linenumber AS n, CASE WHEN s < 2 THEN format('{:.2f}s', s) WHEN s < 120 THEN format('{:.0f}s', s) ELSE format('{:.1f}min', s / 60) END AS label FROM (SELECT l_linenumber, count(*) / 64.0 AS s FROM lineitem GROUP BY l_linenumber)")

@@ -42,6 +42,6 @@ def capabilities(header: dict[str, Column], source: DataFrame) -> DataFrame:
     return source.select(F.to_json(F.struct(*[c.alias(k) for k, c in header.items()])).alias("message"))
 
 
-def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows, the same for a seed whatever the partitioning."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 0, by: Column | None = None) -> DataFrame:
+    """n rows, the same for a seed whatever the partitioning: the first by a hash of the key (or by `by`). Each task hands on n at most."""
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)) if by is None else by, key).limit(n)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from krylake.functions.fields import CITY, clip, linspace, normal, uniform
+from krylake.functions.fields import CITY, clip, lattice, linspace, normal, uniform
 
 
 def synthetic(spark: SparkSession, n: int, dims: int = 2, seed: int = 42, scale: float = 100.0) -> DataFrame:
@@ -11,6 +11,11 @@ def synthetic(spark: SparkSession, n: int, dims: int = 2, seed: int = 42, scale:
     return spark.range(n).select("id", F.array(*[scale * uniform(F.col("id"), F.lit(seed), F.lit(d)) for d in range(dims)]).alias("p"))
 
 
+def scattered(ids: DataFrame, scale: float = 100.0) -> DataFrame:
+    """(id, p): a point in the square for each id of a table, a function of the id alone."""
+    return ids.select("id", F.array(scale * lattice(F.col("id") * 2 + 1), scale * lattice(F.col("id") * 2 + 2)).alias("p"))
+
+
 def grid(spark: SparkSession, nx: int, ny: int, lo: float = 0.0, hi: float = CITY) -> DataFrame:
     """(gy, gx, x, y): row by row, both ends included."""
     cell = spark.range(nx * ny).select((F.floor(F.col("id") / nx)).cast("int").alias("gy"), (F.col("id") % nx).cast("int").alias("gx"))
