@@ -291,11 +291,13 @@ def near_vectors(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK) ->
 
     Vectors are compared within a label and a dimension. Null, zero and non-finite vectors and those
     with a null component or label are linked to nothing: n_links 0, component_id their own. Equal
-    vectors are linked to each other. Rows that repeat a vec_id count as vectors of their own.
+    vectors are linked to each other. Rows that repeat a vec_id count as vectors of their own, whatever
+    else has it; a row without vec_id links as any other does, and its component_id is null if no row
+    that it reaches has one. No rows, no answer.
     """
     rows = written(usable(vectors))
-    nodes = rows.filter("vec IS NOT NULL AND vec_id IS NOT NULL").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("dim", F.octet_length("vec"))
-    nodes = written(nodes)
+    nodes = rows.filter("vec IS NOT NULL").groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult")).withColumn("dim", F.octet_length("vec"))
+    nodes = written(nodes.withColumn("rep", F.monotonically_increasing_id()))  # a number for each different vector
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("size")).withColumn("shards", F.ceil(F.col("size") / shard).cast("int")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     dealt = nodes.join(sizes.drop("size"), ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
     dealt = written(dealt)
@@ -306,9 +308,10 @@ def near_vectors(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK) ->
     out = written(asked.groupBy(*keys).cogroup(meet.groupBy(*keys)).applyInPandas(answers, "a long, b long, n long"))
     counts = out.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = components(out.filter("a <> b").select("a", "b"))
-    told = nodes.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("label", "vec", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    linked = rows.filter("vec IS NOT NULL AND vec_id IS NOT NULL").join(told, ["label", "vec"]).select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
-    alone = rows.filter("vec IS NULL OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    own = written(nodes.join(groups, F.col("rep") == F.col("node"), "left").select("label", "vec", "rep", "mult", "least", F.coalesce("component", "rep").alias("group")))
+    told = own.join(own.groupBy("group").agg(F.min("least").alias("component")), "group").join(counts, "rep", "left").select("label", "vec", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component")
+    linked = rows.filter("vec IS NOT NULL").join(told, ["label", "vec"]).select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    alone = rows.filter("vec IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -174,14 +174,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
     Documents whose fingerprints differ in at most `radius` bits are linked; component_id is the
     smallest doc_id that links reach. Texts without words (null, empty, blanks) have fingerprint 0 and
-    are linked like any other. A row without doc_id gets a fingerprint; its component_id is null if
-    it is linked to nothing else. Rows that repeat each get a row; no rows give none.
+    are linked like any other. A row without doc_id links as any other does; its component_id is null if
+    no row that it reaches has one. Rows that repeat each get a row; no rows give none.
     """
     prints = written(fingerprints(docs, shingle))
-    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = linked(reps.filter("rep IS NOT NULL"), radius)
-    joined = components(edges)
-    groups = written(reps.join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    own = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    joined = components(linked(own.select("fp", F.col("fp").alias("rep")), radius))  # a fingerprint is its own number
+    told = own.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    groups = written(told.join(told.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "component_id"))
     return split_join(prints, groups, "fp", hot_keys(prints, "fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -253,12 +253,39 @@ def test_embedding_dedup(spark):
         comp = {i: min([comp[i], *[comp[j] for j in near[i]]]) for i in comp}
     for shard in (64, 2048):
         got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.near_vectors(d, shard, 50).collect()}
-        assert sum(got[i][0] == len(near[i]) for i in comp) >= 0.95 * len(comp) and all(got[i][0] <= len(near[i]) for i in comp)
+        assert all(got[i][0] == len(near[i]) for i in comp)  # the audit asks for 0.99; here every link is found
         assert all(got[i][1:] == (comp[i], comp[i] == i) for i in comp)
         assert all(got[i] == (0, i, True) for i in range(900, 905))
     assert embedding_dedup.near_vectors(d.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    """A vector is a row, not its id: repeated ids don't join what isn't alike, rows without an id link and are bridges."""
+    at = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg))]
+    rows = [(1, at(0)), (1, at(90)), (2, at(5)), (3, at(95)), (None, at(15)), (4, at(25)), (None, at(180)), (None, at(190)), (None, at(45))]
+    got = sorted(map(tuple, embedding_dedup.near_vectors(spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 2, 1, False), (4, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_fingerprints_of_rows_without_ids(spark):
+    """Texts of many words that differ in one have fingerprints some bits apart: rows without an id belong to what they reach, and are bridges."""
+    rng = np.random.default_rng(3)
+    chain = [[f"w{x}" for x in rng.integers(0, 10**6, 400)]]
+    for _ in range(60):
+        chain.append([*chain[-1]])
+        chain[-1][int(rng.integers(400))] = f"x{rng.integers(10**6)}"
+    rows = [(None if k % 3 == 1 else k, " ".join(w)) for k, w in enumerate(chain)] + [(None, "quite another text of its own")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    fp = [int(r["fingerprint"], 16) for r in got]
+    ids = [r["doc_id"] for r in got]
+    group = list(range(len(fp)))
+    for _ in fp:
+        group = [min(group[j] for j in range(len(fp)) if (fp[i] ^ fp[j]).bit_count() <= 4) for i in range(len(fp))]
+    want = [min((ids[j] for j in range(len(fp)) if group[j] == g and ids[j] is not None), default=None) for g in group]
+    assert [r["component_id"] for r in got] == want and None in want and any(i is None and c is not None for i, c in zip(ids, want, strict=True))
+
+
 def test_licenses(spark, none):
     rows = [(1, "Released under the MIT License.\nunder the mit license"), (2, "Apache License, Version 2.0 and CC-BY-NC 4.0"), (3, None), (4, "no licence here"), (5, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (6, "GNU General Public License, version 3"), (7, "under THE mit-license " * 3)]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").withColumn("labels", F.lit(1))).collect()}
