@@ -137,13 +137,14 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def sampled(rows: DataFrame, label: str, per_label: int) -> list:
-    """Rows, at most `per_label` of each label, those with the smallest hashes of doc_id: labels are counted
-    first, and a hash threshold lets through little more than is wanted, so that nothing is ranked at large."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))  # a row a label
+def sampled(rows: DataFrame, label: str, per_label: int, by: tuple[str, ...] = ("doc_id", "text")) -> list:
+    """Different rows, at most `per_label` of each label, those with the smallest hashes of `by`: different rows of a label are counted
+    first (by a sketch), and a hash threshold lets through little more than is wanted, so that nothing is ranked at large. Rows that repeat, however
+    often, come to the driver once; a row with the same `by` as another has its label's other columns alike or is told apart by them."""
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(1 << 30)))
+    counts = rows.groupBy(label).agg(F.greatest(F.approx_count_distinct("_h", 0.02), F.lit(1)).alias("_n"))  # a row a label
     cut = F.ceil((per_label + 6 * per_label**0.5 + 10) / F.col("_n") * (1 << 30))
-    hashed = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    got = rows.join(F.broadcast(counts.select(F.col(label).alias("_label"), cut.alias("_cut"))), F.col(label) == F.col("_label")).withColumn("_h", hashed).filter("_h < _cut").drop("_label", "_cut").collect()
+    got = rows.join(counts.select(F.col(label).alias("_label"), cut.alias("_cut")), F.col(label) == F.col("_label")).filter("_h < _cut").drop("_label", "_cut").distinct().collect()
     taken: Counter = Counter()
     out = []
     for r in sorted(got, key=lambda r: (r["_h"], str(r))):
@@ -158,21 +159,23 @@ def trainable(docs: DataFrame, label: str) -> DataFrame:
     return docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
 
 
-def identify(docs: DataFrame, per_language: int = 300) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 300, per_text: int = 4) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of `docs` (doc_id, text, lang; others are ignored).
 
-    Learns from rows with a lang whose crc32(doc_id as text) mod 4 is not 2. `und` with score 0 for
-    null or empty texts, texts without a letter, and when nothing could be learned (no such row).
-    Ties between languages go to the first by name. Rows that repeat each get a row.
+    Learns from rows with a lang whose crc32(doc_id as text) mod 4 is not 2: at most `per_language` different ones
+    of each language, and of each `per_text` windows spread over the text (at both ends and between), as bounds of the
+    sample; a prediction reads all windows of its text. Languages are to be few: each is a class of the model. `und` with
+    score 0 for null or empty texts, texts without a letter, and when nothing could be learned (no such row).
+    Ties between languages go to the first by name. Rows that repeat each get a row. No rows give none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return annotate(docs, per_language).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return annotate(docs, per_language, per_text).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def annotate(docs: DataFrame, per_language: int = 300) -> DataFrame:
-    """`docs` with _held_out, _lang_pred, _score and _letters (whether the text has a letter) added."""
+def annotate(docs: DataFrame, per_language: int = 300, per_text: int = 4) -> DataFrame:
+    """`docs` with _held_out, _lang_pred, _score and _letters (whether the text has a letter) added; it has none of these."""
     rows = sampled(trainable(docs.select("doc_id", "text", "lang"), "lang"), "lang", per_language)
-    model = fit([lowered(r["text"]) for r in rows], [r["lang"] for r in rows])
+    model = fit([lowered(r["text"]) for r in rows], [r["lang"] for r in rows], per_text=per_text)
     t = tables(model) if model else None
 
     def answer():
@@ -182,7 +185,7 @@ def annotate(docs: DataFrame, per_language: int = 300) -> DataFrame:
 
         return found
 
-    return annotated(docs.drop(*[c for c in docs.columns if c in ("_held_out", "_lang_pred", "_score", "_letters")]), "_held_out boolean, _lang_pred string, _score double, _letters boolean", answer)
+    return annotated(docs, "_held_out boolean, _lang_pred string, _score double, _letters boolean", answer)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

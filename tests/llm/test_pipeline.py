@@ -55,4 +55,4 @@ def test_stages(spark):
 
 
 def test_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)

@@ -77,3 +77,33 @@ def test_sharding_keeps_rows_without_id(spark, nulls):
     got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 30 and sum(r["doc_id"] is None for r in got) == nulls
     assert {r["text_crc32"] for r in got} == {zlib.crc32(t.encode()) for _, t in rows}
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    """Every column comes out as it went in, whatever a stage calls its own; null and repeated ids, repeated rows, no rows."""
+    ddl = DDL + ", row string, _score string, _held_out string, _predicted string, _lang_pred string, _letters string, member string, key string, in0 string, `a.b` string"
+    words = ["the old house by the river has a red door", "la vieille maison au bord du fleuve est belle", "plain words of a document that says nothing else here"]
+    rows = [(k if k % 4 else None, words[k % 3] + f" number {k // 2}", ["en", "fr", None][k % 3], "s", 3, *[f"{c}{k}" for c in "abcdefghij"]) for k in range(40)]
+    rows += [(7, words[0] + " number 1", "en", "s", 3, *"ABCDEFGHIJ")] * 2
+    d = spark.createDataFrame(rows, ddl)
+    spark.createDataFrame([(k, 0) for k in range(1, 30, 3)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns, name
+        kept = {tuple(r) for r in out.collect()}
+        assert kept and kept <= {tuple(r) for r in d.collect()}, name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0, name
+    assert c.packing_stage(spark, d, str(tmp_path)).count() >= len(rows)
+
+
+def test_learning_takes_a_bounded_sample(spark):
+    """One id very often, with one text and with many: what comes to the driver stays small, and the other rows are still learned from."""
+    from pyspark.sql import functions as F
+
+    from krylake.llm import langid
+
+    many = spark.range(200_000).select(F.lit(1).cast("long").alias("doc_id"), F.when(F.col("id") < 100_000, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(300).select((F.col("id") * 4 + 5).alias("doc_id"), F.concat(F.lit("texte "), F.col("id")).alias("text"), F.lit("fr").alias("lang"))
+    got = langid.sampled(many.unionByName(few), "lang", 100)
+    assert sum(r["lang"] == "en" for r in got) == 100 and sum(r["lang"] == "fr" for r in got) == 100
+    assert len(langid.sampled(many.filter("text = 'same text'"), "lang", 100)) == 1
