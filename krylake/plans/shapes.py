@@ -93,7 +93,7 @@ def matrix_from_blocks(spark, sf_dir):
     """A user's matrix as blocks of rows, stored in the shared folder and scanned again, times a vector."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("row"))
     blocks = written(from_blocks(e, 256))
-    x = [1.0 + k % 5 for k in range(len(e.first()["row"]))]
+    x = [1.0 + k % 5 for k in range(e.agg(F.max(F.size("row"))).first()[0] or 0)]  # rows of another length are an error of the product
     return blocks_product(blocks, x).select("i", F.round("y", 6).alias("y"))
 
 
@@ -108,10 +108,10 @@ def complex_to_real(spark, sf_dir):
 
 @query("WITH d AS (SELECT vec_id AS id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * (1 + label) AS v FROM embeddings), m AS (SELECT CASE WHEN avg(abs(v)) > 0 THEN avg(abs(v)) ELSE 0.1 END AS scale FROM d) SELECT id, round(v + 1e-4 * scale, 8) AS shifted FROM d, m")
 def tikhonov_shift(spark, sf_dir):
-    """A diagonal plus 1e-4 of its mean size (0.1 where that is nothing): one aggregate, a row, joined to all."""
+    """A diagonal plus 1e-4 of its mean size (0.1 where that is nothing): one aggregate, whose single row is broadcast to all."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.aggregate(F.transform("embedding", lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda a, v: a + v) * (1 + F.col("label"))).alias("v"))
-    mean = e.agg(F.avg(F.abs("v")).alias("m")).first()["m"] or 0.0
-    return e.select("id", F.round(F.col("v") + F.lit(1e-4 * (mean if mean > 0 else 0.1)), 8).alias("shifted"))
+    mean = e.agg(F.avg(F.abs("v")).alias("m")).select(F.when(F.col("m") > 0, F.col("m")).otherwise(0.1).alias("scale"))
+    return e.join(F.broadcast(mean)).select("id", F.round(F.col("v") + 1e-4 * F.col("scale"), 8).alias("shifted"))
 
 
 @query(f"{XY} SELECT id, round(x * cos(2.0 * x), 6) AS re, round(abs(x * cos(2.0 * x)), 6) AS size, round(power(x * cos(2.0 * x), 2) + power(y * sin(2.0 * x), 2), 4) AS power, round(atan2(y * sin(2.0 * x), x * cos(2.0 * x)), 6) AS phase FROM s")
