@@ -27,6 +27,7 @@ from krylake.llm.common import table, written
 
 SPACE = "▁"
 CHUNK_ROWS, CHUNK_BYTES = 16384, 8 << 20
+PAIRS = 2_000_000  # pairs of pieces whose answer a task remembers
 BLOCK = 256  # signs that the inner fold takes at once: arrays are copied when they grow
 NEVER = (1 << 20) - 1  # later than any rank
 PACKED, PACKED_DDL = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())]), "chunk long, blob binary"
@@ -115,26 +116,79 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def constant(values) -> Column:
-    """Whole numbers as an array that the plan holds once: folded before it runs, read by place."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+class Crossings:
+    """Whether two pieces side by side would have merged across their border: asked of pairs of ids (+ 1; 0 is a sign without a piece), a pair's answer remembered."""
+
+    def __init__(self, path: str):
+        self.ranks, self.left, self.right, self.known = {}, {0: []}, {0: []}, {}
+        for text, i, rank, left, right in piece_table(path):
+            if rank:
+                self.ranks[text] = rank
+            self.left[i + 1] = [(text[:n], formed, until) for n, formed, until in left]
+            self.right[i + 1] = [(text[len(text) - k - 1 :], r >> 20, r & NEVER) for k, r in enumerate(right) if r]
+
+    def crossed(self, a: int, b: int) -> bool:
+        for mine, formed, until in self.right[a]:
+            for other, begun, ended in self.left[b]:
+                rank = self.ranks.get(mine + other)
+                if rank is not None:
+                    when = max(rank, formed, begun)
+                    if when <= ended and when < until:
+                        return True
+        return False
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        codes, of = np.unique(a << 20 | b, return_inverse=True)
+        if len(self.known) > PAIRS:
+            self.known.clear()
+        out = np.empty(len(codes), bool)
+        for k, code in enumerate(codes.tolist()):
+            told = self.known.get(code)
+            if told is None:
+                told = self.known[code] = self.crossed(code >> 20, code & NEVER)
+            out[k] = told
+        return out[of.ravel()]
+
+
+@functools.cache
+def crossings(path: str) -> Crossings:
+    return Crossings(path)
+
+
+def judged(grouped: DataFrame, path: str) -> DataFrame:
+    """Adds `prev` to (bucket, run, edges): for each edge the places, among its run's, of those that end where it begins and that it may follow."""
+
+    def run(batches):
+        crosses = crossings(path)
+        for b in batches:
+            edges = b.column(2)
+            at, e = edges.offsets.to_numpy(), edges.values.to_numpy(zero_copy_only=False)
+            at, e = at - at[0], e[at[0] : at[-1]]
+            of = np.repeat(np.arange(b.num_rows), np.diff(at))
+            end = of << 40 | e >> 26  # sorted: edges are, by their ends first
+            begin = end - (e >> 20 & 63)
+            low, high = np.searchsorted(end, begin, "left"), np.searchsorted(end, begin, "right")
+            right = np.repeat(np.arange(len(e)), high - low)
+            left = np.arange(len(right)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[right]
+            ok = ~crosses(e[left] & NEVER, e[right] & NEVER)
+            left, right = left[ok], right[ok]
+            ends = np.append(0, np.cumsum(np.bincount(right, minlength=len(e)))).astype(np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(ends), pa.array((left - at[of[left]]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(e)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), inner)], names=["bucket", "run", "edges", "prev"])
+
+    return grouped.select("bucket", "run", "edges").mapInArrow(run, "bucket int, run string, edges array<long>, prev array<array<int>>")
 
 
 def lattice(rows: DataFrame, path: str) -> DataFrame:
     """rows (bucket, run: each once, not empty): adds the ids of its path. The piece table is a fixed vocabulary and broadcast; rows that lie by bucket aren't shuffled.
 
-    An edge is one long: its end, its length (6 bits), its piece's id + 1 (20 bits; 0: a sign without a piece, never merged). What
-    pieces are made of is looked up by id in constants: lefts of a piece lie from its place in `left_at` to the next piece's, rights alike.
+    An edge is one long: its end, its length (6 bits), its piece's id + 1 (20 bits; 0: a sign without a piece, never merged).
+    Which edges may follow each other is a matter of their two pieces alone, and is judged before the fold, once a pair of pieces in a task.
     """
     known = piece_table(path)
     longest, first_byte = max(len(r[0]) for r in known), processor(path).piece_to_id("<0x00>")
-    if longest > 63 or max(r[1] for r in known) >= NEVER:
+    if longest > 63 or max(r[1] for r in known) >= NEVER - 1 or max(r[2] for r in known) >= NEVER:
         raise ValueError("pieces of over 63 signs, or too many")
-    parts = {0: (0, [(1, 0, NEVER)], [NEVER])} | {i + 1: (rank, left, right) for _, i, rank, left, right in known}
-    every = [parts.get(i, (0, [], [])) for i in range(max(parts) + 1)]
-    ranks = constant(x[0] for x in every)
-    lefts, left_at = constant(n << 40 | formed << 20 | until for x in every for n, formed, until in x[1]), constant(np.cumsum([0, *(len(x[1]) for x in every)]).tolist())
-    rights, right_at = constant(r for x in every for r in x[2]), constant(np.cumsum([0, *(len(x[2]) for x in every)]).tolist())
 
     pieces = F.broadcast(rows.sparkSession.createDataFrame([(r[0], r[1]) for r in known], "piece string, id int"))
     # a number for each run: rows of edges are grouped by it, in the task that numbered them
@@ -144,38 +198,20 @@ def lattice(rows: DataFrame, path: str) -> DataFrame:
     edge = F.shiftleft(F.col("end").cast("long"), 26).bitwiseOR(F.shiftleft(F.col("len").cast("long"), 20)).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))
     grouped = found.groupBy("bucket", "no").agg(F.first("run").alias("run"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
-    at = lambda values, i: F.get(values, i.cast("int"))
     edge_at = lambda i: F.get("edges", i)
     end_of = lambda e: F.shiftright(e, 26).cast("int")
     start_of = lambda e: (F.shiftright(e, 26) - F.shiftright(e, 20).bitwiseAND(F.lit(63))).cast("int")
     piece_of = lambda e: e.bitwiseAND(F.lit(NEVER)).cast("int")
     # where the edges of each end begin among the sorted ones, and where the last end's stop
     heads = F.filter(F.sequence(F.lit(0), F.size("edges") - 1), lambda i: (i == 0) | (end_of(edge_at(i)) != end_of(edge_at(i - 1))))
-    grouped = grouped.select("bucket", "run", "edges", F.concat(heads, F.array(F.size("edges"))).alias("heads"))
+    grouped = judged(grouped, path).select("bucket", "run", "edges", "prev", F.concat(heads, F.array(F.size("edges"))).alias("heads"))
     edges_of = lambda end: F.sequence(F.get("heads", end - 1), F.get("heads", end) - 1)
 
-    def crossed(before: Column, e: Column) -> Column:
-        """Whether a part of the piece `before` and one of this edge would have merged across the start of this edge."""
-        p, first = start_of(e), at(right_at, before)
-
-        def merges(l, c):
-            k = p - start_of(c) - 1
-
-            def timed(r):
-                when = F.greatest(at(ranks, piece_of(c)), F.shiftright(r, 20), F.shiftright(l, 20).bitwiseAND(F.lit(NEVER)))
-                return (when <= l.bitwiseAND(F.lit(NEVER))) & (when < r.bitwiseAND(F.lit(NEVER)))
-
-            return F.when((k >= 0) & (first + k < at(right_at, before + 1)), let(at(rights, first + k), timed)).otherwise(F.lit(False))
-
-        own = lambda l: F.exists(edges_of(p + F.shiftright(l, 40).cast("int")), lambda i: let(edge_at(i), lambda c: merges(l, c)))
-        return F.exists(F.sequence(at(left_at, piece_of(e)), at(left_at, piece_of(e) + 1) - 1), lambda i: let(at(lefts, i), own))
-
     def step(s, end):
-        """One end: which of its edges the best edge at its start can be followed by; there is only one. `own` are the best edges so far, by their places."""
-        before = lambda e: piece_of(edge_at(F.element_at(s["own"], start_of(e) - s["at"] - 1)))
-        fits = lambda e: F.when(start_of(e) == 0, True).otherwise(let(before(e), lambda b: ~crossed(b, e)))
-        best = F.array_max(F.filter(edges_of(end), lambda i: let(edge_at(i), fits)))
-        return F.struct((s["at"] + 1).alias("at"), F.concat(s["own"], F.array(best)).alias("own"))
+        """One end: which of its edges may follow the best edge at its start; there is only one. `own` are the best edges so far, by their places."""
+        size = lambda i: F.shiftright(edge_at(i), 20).bitwiseAND(F.lit(63)).cast("int")
+        fits = lambda i: F.when(size(i) == end, True).otherwise(F.array_contains(F.get("prev", i), F.element_at(s["own"], -size(i))))
+        return F.struct((s["at"] + 1).alias("at"), F.concat(s["own"], F.array(F.array_max(F.filter(edges_of(end), fits)))).alias("own"))
 
     n = F.length("run")
 
