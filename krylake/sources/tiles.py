@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from krylake.plans.tables import importable
+
 ROWS = 4096  # of a tile
 SCHEMA = "i long, row array<float>"
 
@@ -148,6 +150,7 @@ class RowTiles(DataSource):
 
 
 def registered(spark: SparkSession) -> SparkSession:
+    importable(spark)
     spark.dataSource.register(RowTiles)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
