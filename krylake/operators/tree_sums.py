@@ -75,7 +75,8 @@ def celled(points: DataFrame, gamma: float) -> DataFrame:
 
 
 def moments(sources: DataFrame, nodes: int) -> DataFrame:
-    """(cx, cy, m): a cell's sources (u, v, w) as weights of its nodes. Every Arrow batch is summed by cell first; then batches are, number by number."""
+    """(cx, cy, m): a cell's sources (u, v, w) as weights of its nodes. Sources are dealt by cell, but a full cell to several tasks (a rebalancing shuffle, which splits
+    what is skewed), and sorted: so a batch holds few cells, and is summed by cell before the batches are, number by number."""
     pp = nodes * nodes
 
     def run(batches):
@@ -90,7 +91,8 @@ def moments(sources: DataFrame, nodes: int) -> DataFrame:
             k = np.tile(np.arange(pp, dtype=np.int32), len(sums))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cells[0], pp)), pa.array(np.repeat(cells[1], pp)), pa.array(k), pa.array(np.concatenate([s.ravel() for s in sums]))], names=["cx", "cy", "k", "m"])
 
-    parts = sources.select("u", "v", F.col("w").cast("double"), "cx", "cy").mapInArrow(run, "cx long, cy long, k int, m double")
+    dealt = sources.select("u", "v", F.col("w").cast("double"), "cx", "cy").hint("rebalance", "cx", "cy").sortWithinPartitions("cx", "cy")
+    parts = dealt.mapInArrow(run, "cx long, cy long, k int, m double")
     sums = parts.groupBy("cx", "cy", "k").agg(F.sum("m").alias("m"))
     return sums.groupBy("cx", "cy").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("m"))
 
