@@ -34,6 +34,7 @@ def byte_classes() -> np.ndarray:
     return c
 
 
+LABELS = 4096  # classes at most
 CLASSES, N_CLASSES = byte_classes(), 114
 
 
@@ -142,9 +143,12 @@ def sampled(rows: DataFrame, label: str, per_label: int, by: tuple[str, ...] = (
     first (by a sketch), and a hash threshold lets through little more than is wanted, so that nothing is ranked at large. Rows that repeat, however
     often, come to the driver once; a row with the same `by` as another has its label's other columns alike or is told apart by them."""
     rows = rows.withColumn("_h", F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(1 << 30)))
-    counts = rows.groupBy(label).agg(F.greatest(F.approx_count_distinct("_h", 0.02), F.lit(1)).alias("_n"))  # a row a label
-    cut = F.ceil((per_label + 6 * per_label**0.5 + 10) / F.col("_n") * (1 << 30))
-    got = rows.join(counts.select(F.col(label).alias("_label"), cut.alias("_cut")), F.col(label) == F.col("_label")).filter("_h < _cut").drop("_label", "_cut").distinct().collect()
+    cut = F.ceil((per_label + 6 * per_label**0.5 + 10) / F.greatest(F.approx_count_distinct("_h", 0.02), F.lit(1)) * (1 << 30))
+    cuts = rows.groupBy(F.col(label).alias("_label")).agg(cut.alias("_cut")).limit(LABELS + 1).collect()
+    if len(cuts) > LABELS:
+        raise ValueError(f"over {LABELS} labels: each would be a class of the model")
+    few = rows.sparkSession.createDataFrame(cuts, f"_label {dict(rows.dtypes)[label]}, _cut long")
+    got = rows.join(F.broadcast(few), F.col(label) == F.col("_label")).filter("_h < _cut").drop("_label", "_cut").distinct().collect()
     taken: Counter = Counter()
     out = []
     for r in sorted(got, key=lambda r: (r["_h"], str(r))):
@@ -164,7 +168,7 @@ def identify(docs: DataFrame, per_language: int = 300, per_text: int = 4) -> Dat
 
     Learns from rows with a lang whose crc32(doc_id as text) mod 4 is not 2: at most `per_language` different ones
     of each language, and of each `per_text` windows spread over the text (at both ends and between), as bounds of the
-    sample; a prediction reads all windows of its text. Languages are to be few: each is a class of the model. `und` with
+    sample; a prediction reads all windows of its text. More than LABELS languages are an error: each is a class of the model. `und` with
     score 0 for null or empty texts, texts without a letter, and when nothing could be learned (no such row).
     Ties between languages go to the first by name. Rows that repeat each get a row. No rows give none.
     """
