@@ -27,7 +27,7 @@ from krylake.llm.common import table, written
 
 SPACE = "▁"
 CHUNK_ROWS, CHUNK_BYTES = 16384, 8 << 20
-PAIRS = 2_000_000  # pairs of pieces whose answer a task remembers
+PAIRS = 200_000  # pairs of pieces whose answer a task remembers
 BLOCK = 256  # signs that the inner fold takes at once: arrays are copied when they grow
 NEVER = (1 << 20) - 1  # later than any rank
 PACKED, PACKED_DDL = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())]), "chunk long, blob binary"
@@ -64,7 +64,6 @@ def tree(piece: str, ranks: dict[str, int]) -> tuple | None:
     return parts[0]
 
 
-@functools.cache
 def piece_table(path: str) -> list[tuple]:
     """(piece, id, rank, left, right). left: parts at the piece's start, their signs, when formed and until when they last;
     right: parts at its end by their signs, formed << 20 | until, 0 for none."""
