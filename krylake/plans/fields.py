@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from krylake.functions import fields as f
 from krylake.functions.kernels import rbf_block
 from krylake.operators.blocks import kernel_apply
+from krylake.operators.tree_sums import gaussian_sums
 from krylake.plans.registry import query
 from krylake.plans.tables import table
 from krylake.sources.points import customer_sensors
@@ -69,11 +70,10 @@ def incident_prune(spark, sf_dir):
 
 @query(f"{XY}, {INCIDENTS} SELECT s.id AS id, round(coalesce(sum(0.85 * strength * exp(-(power(s.x - i.x, 2) + power(s.y - i.y, 2)) / 50.0)), 0.0), 4) AS extra FROM s LEFT JOIN (SELECT * FROM strong WHERE strength > 0) i ON true GROUP BY s.id")
 def incident_field(spark, sf_dir):
-    """All incidents have one radius, so their sum is a kernel product, block by block; without incidents it is 0."""
+    """All incidents have one radius, so their sum is one of Gaussians, by cells with moments; without incidents it is 0."""
     live = incidents(spark, sf_dir).withColumn("w", 0.85 * f.incident_strength(F.lit(T), F.col("t_start"), F.col("duration"))).filter("w > 0")
     s = sensors(spark, sf_dir).select("id", F.array("x", "y").alias("p"))
-    y = kernel_apply(s, live.select("id", F.array("x", "y").alias("p"), "w"), rbf_block(1.0 / 50.0), "w")
-    return s.select("id").join(y, "id", "left").select("id", F.round(F.coalesce("y", F.lit(0.0)), 4).alias("extra"))
+    return gaussian_sums(s, live.select(F.array("x", "y").alias("p"), "w"), 1.0 / 50.0, "w").select("id", F.round("y", 4).alias("extra"))
 
 
 @query(f"{XY}, g AS (SELECT DISTINCT least(floor(x / 100.0 * 64), 63)::INTEGER AS gx, least(floor(y / 100.0 * 64), 63)::INTEGER AS gy FROM s), n AS (SELECT gx, gy, 0.0 + gx * ((100.0 - 0.0) / 63) AS x, 0.0 + gy * ((100.0 - 0.0) / 63) AS y FROM g) SELECT gx, gy, round(least(greatest({HOTSPOT.format(t='2.0')}, 0.0), 1.0), 6) AS congestion FROM n")
