@@ -2,7 +2,6 @@
 
 import math
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from krylake.functions import fields as f
@@ -11,6 +10,7 @@ from krylake.operators import spatial as s
 from krylake.operators.blocks import kernel_apply
 from krylake.operators.linear import blocks_product, coordinates_product, from_blocks, real_blocks
 from krylake.operators.quadtree import nearest
+from krylake.operators.tree_sums import gaussian_sums
 from krylake.plans.fields import INCIDENTS, XY, T, incidents, sensors
 from krylake.plans.registry import query
 from krylake.plans.spatial import SUP, suppliers
@@ -56,16 +56,12 @@ def shape_at_click(spark, sf_dir):
 
 @query(f"{XY}, {INCIDENTS} SELECT s.id AS id, round(coalesce(sum((0.5 + i.id % 4 / 10.0) * strength * exp(-(power(s.x - i.x, 2) + power(s.y - i.y, 2)) / (2.0 * power(3.0 + i.id % 5, 2)))), 0.0), 4) AS extra FROM s LEFT JOIN (SELECT * FROM strong WHERE strength > 0) i ON true GROUP BY s.id")
 def incident_field_own_radius(spark, sf_dir):
-    """Each incident has a radius and an amplitude of its own: the radius goes along as a third coordinate of its place."""
-
-    def kernel(a, b):
-        return np.exp(-((a[:, None, 0] - b[None, :, 0]) ** 2 + (a[:, None, 1] - b[None, :, 1]) ** 2) / (2.0 * b[None, :, 2] ** 2))
-
+    """Each incident has a radius and an amplitude of its own: cells of one radius are told from those of another."""
     strength = f.incident_strength(F.lit(T), F.col("t_start"), F.col("duration"))
     live = incidents(spark, sf_dir).withColumn("w", (0.5 + F.col("id") % 4 / 10.0) * strength).filter("w > 0")
     s_ = sensors(spark, sf_dir).select("id", F.array("x", "y").alias("p"))
-    y = kernel_apply(s_, live.select("id", F.array("x", "y", 3.0 + F.col("id") % 5).alias("p"), "w"), kernel, "w")
-    return s_.select("id").join(y, "id", "left").select("id", F.round(F.coalesce("y", F.lit(0.0)), 4).alias("extra"))
+    centres = live.select(F.array("x", "y").alias("p"), "w", (1.0 / (2.0 * F.pow(3.0 + F.col("id") % 5, 2))).alias("gamma"))
+    return gaussian_sums(s_, centres, "gamma", "w").select("id", F.round("y", 4).alias("extra"))
 
 
 @query("WITH t AS (SELECT ((s_suppkey * 7919) % 10007)::DOUBLE / 100.07 AS x, ((s_suppkey * 104729) % 10007)::DOUBLE / 100.07 AS y, s_acctbal / 10000.0 AS w FROM supplier), g AS (SELECT gy, gx, gx * (100.0 / 63) AS x, gy * (100.0 / 63) AS y FROM (SELECT unnest(range(64)) AS gx), (SELECT unnest(range(64)) AS gy)) SELECT gx::INTEGER AS gx, gy::INTEGER AS gy, round(sum(w * exp(-0.02 * (power(g.x - t.x, 2) + power(g.y - t.y, 2)))), 5) AS mean FROM g, t GROUP BY gx, gy")

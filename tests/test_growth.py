@@ -41,3 +41,7 @@ def test_gammas_of_their_own(spark):
     assert {r["y"] for r in gaussian_sums(t, s.limit(0), "gamma", "w").collect()} == {0.0}
     with pytest.raises(ValueError):
         gaussian_sums(t, s.selectExpr("p", "0.0 AS gamma", "w"), "gamma", "w")
+
+
+def test_incident_field_own_radius_by_cells(spark, duck, monkeypatch):
+    without_pairs(spark, duck, monkeypatch, "incident_field_own_radius")
