@@ -39,7 +39,7 @@ def tail(widths: float) -> float:
 
 
 def bumps(points: DataFrame, centres: DataFrame, widths: float = 8.0) -> DataFrame:
-    """(id, y): at each point (id, x, y) the sum of amp * exp(-d2 / (2 sigma^2)) over the centres (cx, cy, sigma, amp), each cut off at `widths` * sigma; right within tail(widths) * sum |amp|. Points that nothing reaches have 0."""
-    near = within_reach(points.select("id", "x", "y"), centres.select("cx", "cy", (F.col("sigma") * widths).alias("reach"), "sigma", "amp"))
-    sums = near.groupBy("id").agg(F.sum(F.col("amp") * F.exp(-F.col("d2") / (2.0 * F.pow("sigma", 2)))).alias("y"))
-    return points.select("id").join(sums, "id", "left").select("id", F.coalesce("y", F.lit(0.0)).alias("y"))
+    """(id, y): at each point (id, x, y) the sum of amp * exp(-d2 / (2 sigma^2)) over the centres (cx, cy, sigma, amp), each cut off at `widths` * sigma; right within tail(widths) * sum |amp|. Points that nothing reaches have 0. Points at one place are asked for once."""
+    near = within_reach(points.select("x", "y").distinct(), centres.select("cx", "cy", (F.col("sigma") * widths).alias("reach"), "sigma", "amp"))
+    sums = near.groupBy("x", "y").agg(F.sum(F.col("amp") * F.exp(-F.col("d2") / (2.0 * F.pow("sigma", 2)))).alias("_sum"))
+    return points.select("id", "x", "y").join(sums, ["x", "y"], "left").select("id", F.coalesce("_sum", F.lit(0.0)).alias("y"))

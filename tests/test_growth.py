@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from krylake.operators import blocks
+from krylake.operators import blocks, reach
 from krylake.operators.tree_sums import gaussian_sums
 from krylake.plans import catalogue
 from tests.conftest import SF
@@ -45,3 +45,15 @@ def test_gammas_of_their_own(spark):
 
 def test_incident_field_own_radius_by_cells(spark, duck, monkeypatch):
     without_pairs(spark, duck, monkeypatch, "incident_field_own_radius")
+
+
+def test_points_at_one_place_meet_centres_once(spark, monkeypatch):
+    """400 points at two places, a null one: as many rows as places in reach, and every point its sum."""
+    made = []
+    monkeypatch.setattr(reach, "within_reach", lambda p, c, f=reach.within_reach: made.append(f(p, c)) or made[-1])
+    points = spark.range(400).selectExpr("id", "if(id = 7, null, id % 2 * 3.0) AS x", "1.0D AS y").selectExpr("id", "double(x) AS x", "y")
+    centres = spark.createDataFrame([(0.0, 1.0, 1.0, 2.0), (3.0, 1.0, 1.0, 5.0)], "cx double, cy double, sigma double, amp double")
+    got = {r["id"]: r["y"] for r in reach.bumps(points, centres).collect()}
+    far = math.exp(-4.5)
+    assert made[0].count() == 4 and len(got) == 400 and got[7] == 0.0
+    assert all(got[i] == pytest.approx((5 + 2 * far) if i % 2 else (2 + 5 * far), abs=1e-12) for i in range(400) if i != 7)
