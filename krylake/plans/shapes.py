@@ -43,7 +43,7 @@ def coupled_panels(spark, sf_dir):
     """The panels of all shapes as one system: each meets those of every other shape, off the diagonal blocks too."""
     shapes = suppliers(spark, sf_dir).select("id", F.lit("circle").alias("kind"), F.col("x").alias("cx"), F.col("y").alias("cy"), (1.0 + F.col("id") % 4).alias("a"), F.lit(1.0).alias("b"))
     p = s.panels(shapes, 8).select((F.col("id") * 8 + F.col("seq")).alias("id"), F.array("x", "y").alias("p"), "len")
-    return kernel_apply(p, p, rbf_block(0.05), "len").select(F.floor(F.col("id") / 8).cast("long").alias("id"), (F.col("id") % 8).alias("seq"), F.round("y", 5).alias("y"))
+    return gaussian_sums(p, p, 0.05, "len").select(F.floor(F.col("id") / 8).cast("long").alias("id"), (F.col("id") % 8).alias("seq"), F.round("y", 5).alias("y"))
 
 
 @query(f"WITH {SUP}, {CLICKS}, d AS (SELECT c.id AS id, p.id AS nid, power(c.x - p.x, 2) + power(c.y - p.y, 2) AS d2 FROM c, p) SELECT id, nid AS nearest_id, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nid) AS r FROM d) WHERE r = 1")

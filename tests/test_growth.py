@@ -57,3 +57,7 @@ def test_points_at_one_place_meet_centres_once(spark, monkeypatch):
     far = math.exp(-4.5)
     assert made[0].count() == 4 and len(got) == 400 and got[7] == 0.0
     assert all(got[i] == pytest.approx((5 + 2 * far) if i % 2 else (2 + 5 * far), abs=1e-12) for i in range(400) if i != 7)
+
+
+def test_coupled_panels_by_cells(spark, duck, monkeypatch):
+    without_pairs(spark, duck, monkeypatch, "coupled_panels")
