@@ -4,10 +4,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from krylake.operators import blocks, reach
 from krylake.operators.tree_sums import gaussian_sums
-from krylake.plans import catalogue
+from krylake.plans import catalogue, reaches
 from tests.conftest import SF
 
 
@@ -61,3 +62,15 @@ def test_points_at_one_place_meet_centres_once(spark, monkeypatch):
 
 def test_coupled_panels_by_cells(spark, duck, monkeypatch):
     without_pairs(spark, duck, monkeypatch, "coupled_panels")
+
+
+def test_pairs_in_reach_are_counted_by_place(spark, monkeypatch, tmp_path):
+    """Customers whose keys differ by 10007 stand at one place: twice the pairs, from as many rows of the join."""
+    for k in (1, 2):
+        c = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey")
+        c.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).selectExpr("c_custkey + 10007 * k AS c_custkey").write.parquet(f"{tmp_path}/{k}/customer.parquet")
+        spark.read.parquet(f"{SF}/events.parquet").write.parquet(f"{tmp_path}/{k}/events.parquet")
+    made = []
+    monkeypatch.setattr(reaches, "within_reach", lambda p, c, f=reach.within_reach: made.append(f(p, c)) or made[-1])
+    one, two = ({r["sigma"]: r["pairs"] for r in catalogue.QUERIES["incident_reach_pairs"](spark, f"{tmp_path}/{k}").collect()} for k in (1, 2))
+    assert sum(one.values()) and two == {s: 2 * n for s, n in one.items()} and made[0].count() == made[1].count()
