@@ -3,8 +3,6 @@
 from pyspark.sql import functions as F
 
 from krylake.functions import fields as f
-from krylake.functions.kernels import rbf_block
-from krylake.operators.blocks import kernel_apply
 from krylake.operators.tree_sums import gaussian_sums
 from krylake.plans.registry import query
 from krylake.plans.tables import table
@@ -91,7 +89,7 @@ def gp_reconstruct(spark, sf_dir):
     place = lambda k: ((F.col("s_suppkey") * k) % 10007).cast("double") / 100.07
     train = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(place(7919), place(104729)).alias("p"), (F.col("s_acctbal") / 10000.0).alias("w"))
     q = sensors(spark, sf_dir).select("id", F.array("x", "y").alias("p"))
-    return kernel_apply(q, train, rbf_block(0.2), "w").select("id", F.round("y", 6).alias("mean"))
+    return gaussian_sums(q, train, 0.2, "w").select("id", F.round("y", 6).alias("mean"))
 
 
 SIZES = "WITH g AS (SELECT l_shipmode, n FROM (SELECT l_returnflag || l_linestatus || (l_linenumber::VARCHAR) AS l_shipmode, count(*) AS n FROM lineitem GROUP BY 1))"

@@ -74,3 +74,7 @@ def test_pairs_in_reach_are_counted_by_place(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(reaches, "within_reach", lambda p, c, f=reach.within_reach: made.append(f(p, c)) or made[-1])
     one, two = ({r["sigma"]: r["pairs"] for r in catalogue.QUERIES["incident_reach_pairs"](spark, f"{tmp_path}/{k}").collect()} for k in (1, 2))
     assert sum(one.values()) and two == {s: 2 * n for s, n in one.items()} and made[0].count() == made[1].count()
+
+
+def test_gp_reconstruct_by_cells(spark, duck, monkeypatch):
+    without_pairs(spark, duck, monkeypatch, "gp_reconstruct")
