@@ -3,9 +3,12 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from krylake.functions.kernels import rbf_block
 from krylake.operators import blocks, reach
 from krylake.operators.tree_sums import gaussian_sums
 from krylake.plans import catalogue, reaches
@@ -78,3 +81,19 @@ def test_pairs_in_reach_are_counted_by_place(spark, monkeypatch, tmp_path):
 
 def test_gp_reconstruct_by_cells(spark, duck, monkeypatch):
     without_pairs(spark, duck, monkeypatch, "gp_reconstruct")
+
+
+def test_a_side_is_sent_as_often_as_there_are_groups(spark, monkeypatch):
+    """13 blocks against 9 in 3 groups a side: all pairs once, a row a point and task, and each block in three tasks."""
+    monkeypatch.setattr(blocks, "SIDE", 3)
+    rng = np.random.default_rng(3)
+    a, b = rng.random((200, 4)), rng.random((140, 4))
+    frame = lambda x: spark.createDataFrame([(i, p.tolist(), float(i)) for i, p in enumerate(x)], "id long, p array<double>, v double")
+
+    def answer(li, lp, ri, rp, v):
+        return pd.DataFrame({"id": li, "n": len(ri), "total": rbf_block(1.0)(lp, rp) @ v})
+
+    rows = blocks.pairwise(frame(a), frame(b), answer, "id long, n long, total double", "v", 16, {"n": "sum", "total": "sum"}).toPandas()
+    assert len(rows) == 3 * len(a) and set(rows.groupby("id")["n"].sum()) == {len(b)}
+    assert np.allclose(rows.groupby("id")["total"].sum().sort_index(), rbf_block(1.0)(a, b) @ np.arange(140.0))
+    assert blocks.pairwise(frame(a), frame(b).limit(0), answer, "id long, n long, total double", "v", 16).count() == 0
