@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from krylake.functions.kernels import rbf_block
+from krylake.functions.kernels import bem_block, rbf_block
 from krylake.operators import blocks, reach
 from krylake.operators.tree_sums import gaussian_sums
 from krylake.plans import catalogue, reaches
@@ -97,3 +97,12 @@ def test_a_side_is_sent_as_often_as_there_are_groups(spark, monkeypatch):
     assert len(rows) == 3 * len(a) and set(rows.groupby("id")["n"].sum()) == {len(b)}
     assert np.allclose(rows.groupby("id")["total"].sum().sort_index(), rbf_block(1.0)(a, b) @ np.arange(140.0))
     assert blocks.pairwise(frame(a), frame(b).limit(0), answer, "id long, n long, total double", "v", 16).count() == 0
+
+
+def test_near_and_equal_points_keep_their_distance():
+    """Distances of 1e-7 beside lengths of 100: by products alone their root would be off by 1e-6 and more."""
+    rng = np.random.default_rng(5)
+    a = 100 * rng.random((40, 8))
+    b = np.concatenate([a + 1e-7 * rng.random(a.shape), a])
+    want = 1.0 / (1.0 + np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)))
+    assert np.abs(bem_block(a, b) - want).max() < 1e-11
