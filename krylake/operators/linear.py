@@ -56,36 +56,38 @@ class LocalOp:
 
 
 class RecomputeOp:
-    """Kernel rows computed from the points in tasks, a block at a time, never stored."""
+    """Kernel rows computed from the points in tasks, a tile of `rows` x `columns` at a time, never stored."""
 
-    def __init__(self, spark: SparkSession, points: np.ndarray, kernel: Callable, reg: float, rows: int = 512):
-        self.spark, self.n, self.rows = spark, len(points), rows
+    def __init__(self, spark: SparkSession, points: np.ndarray, kernel: Callable, reg: float, rows: int = 512, columns: int = 2048):
+        self.spark, self.n, self.rows, self.columns = spark, len(points), rows, columns
         self.kernel, self.reg = kernel, reg
         self.points = spark.sparkContext.broadcast(checked(np.asarray(points, np.float64)))
 
-    def blocks(self, dtype) -> Callable:
-        points, kernel, reg, rows, n = self.points, self.kernel, self.reg, self.rows, self.n
+    def tiles(self, dtype) -> Callable:
+        points, kernel, reg, rows, columns = self.points, self.kernel, self.reg, self.rows, self.columns
 
-        def block(i: int) -> np.ndarray:
-            p = points.value
-            a = kernel(p[i * rows : (i + 1) * rows], p).astype(dtype)
-            r = np.arange(len(a))
-            a[r, i * rows + r] += dtype(reg)
+        def tile(i: int, j: int) -> np.ndarray:
+            p, first = points.value, j * columns - i * rows
+            a = kernel(p[i * rows : (i + 1) * rows], p[j * columns : (j + 1) * columns]).astype(dtype, copy=False)
+            r = np.arange(max(0, first), min(len(a), first + a.shape[1]))
+            a[r, r - first] += dtype(reg)
             return a
 
-        return block
+        return tile
 
     def _apply(self, x, dtype):
-        v, block = self.spark.sparkContext.broadcast(checked(x.astype(dtype))), self.blocks(dtype)
+        """The product with a vector, or with each column of a matrix."""
+        v, tile, columns, across = self.spark.sparkContext.broadcast(checked(x.astype(dtype))), self.tiles(dtype), self.columns, -(-self.n // self.columns)
 
         def run(batches):
             for pdf in batches:
                 for i in pdf["id"]:
-                    yield pd.DataFrame({"i": [i], "y": [(block(int(i)) @ v.value).astype(np.float64).tobytes()]})
+                    y = sum((tile(int(i), j) @ v.value[j * columns : (j + 1) * columns]).astype(np.float64) for j in range(across))
+                    yield pd.DataFrame({"i": [i], "y": [y.tobytes()]})
 
         got = self.spark.range(-(-self.n // self.rows)).mapInPandas(run, "i long, y binary").collect()
         v.unpersist()
-        return np.concatenate([np.frombuffer(r["y"]) for r in sorted(got, key=lambda r: r["i"])])
+        return np.concatenate([np.frombuffer(r["y"]) for r in sorted(got, key=lambda r: r["i"])]).reshape(x.shape)
 
     def matvec32(self, x):
         return self._apply(x, np.float32)
@@ -95,18 +97,19 @@ class RecomputeOp:
 
 
 class StoredOp:
-    """Row blocks in single precision, cached (`path` None) or in Parquet; double precision is recomputed from the points."""
+    """Tiles in single precision, cached (`path` None: what memory doesn't hold goes to disk) or in Parquet; double precision is recomputed from the points."""
 
     def __init__(self, exact: RecomputeOp, path: str | None = None):
         self.exact, self.n, self.path = exact, exact.n, path
-        block = exact.blocks(np.float32)
+        tile, across = exact.tiles(np.float32), -(-self.n // exact.columns)
 
         def build(batches):
             for pdf in batches:
                 for i in pdf["id"]:
-                    yield pd.DataFrame({"i": [i], "data": [block(int(i)).tobytes()]})
+                    for j in range(across):
+                        yield pd.DataFrame({"i": [i], "j": [j], "data": [tile(int(i), j).tobytes()]})
 
-        made = exact.spark.range(-(-self.n // exact.rows)).mapInPandas(build, "i long, data binary")
+        made = exact.spark.range(-(-self.n // exact.rows)).mapInPandas(build, "i long, j long, data binary")
         if path:
             made.write.mode("overwrite").parquet(path)
             self.frame: DataFrame | None = exact.spark.read.parquet(path)
@@ -116,16 +119,20 @@ class StoredOp:
     def matvec32(self, x):
         if self.frame is None:
             raise RuntimeError("the blocks were closed")
-        n, v = self.n, self.exact.spark.sparkContext.broadcast(checked(x.astype(np.float32)))
+        n, rows, columns, v = self.n, self.exact.rows, self.exact.columns, self.exact.spark.sparkContext.broadcast(checked(x.astype(np.float32)))
 
         def run(batches):
             for pdf in batches:
-                for r in pdf.itertuples():
-                    yield pd.DataFrame({"i": [r.i], "y": [(np.frombuffer(r.data, np.float32).reshape(-1, n) @ v.value).astype(np.float64).tobytes()]})
-
-        got = self.frame.mapInPandas(run, "i long, y binary").collect()
+                for i, j, data in zip(pdf["i"], pdf["j"], pdf["data"], strict=True):
+                    part = v.value[j * columns : (j + 1) * columns]
+                    yield pd.DataFrame({"i": [i], "y": [(np.frombuffer(data, np.float32).reshape(-1, len(part)) @ part).astype(np.float64).tobytes()]})
+
+        y = np.zeros(n)
+        for r in self.frame.mapInPandas(run, "i long, y binary").toLocalIterator(prefetchPartitions=True):
+            part = np.frombuffer(r["y"])
+            y[r["i"] * rows : r["i"] * rows + len(part)] += part
         v.unpersist()
-        return np.concatenate([np.frombuffer(r["y"]) for r in sorted(got, key=lambda r: r["i"])])
+        return y
 
     def matvec64(self, x):
         return self.exact.matvec64(x)
@@ -138,16 +145,19 @@ class StoredOp:
 
 def collected(points: DataFrame, *values: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """ids, points and values on the driver, by id: n of them stand for n * n numbers."""
-    rows = sorted(points.select("id", "p", *values).collect(), key=lambda r: r["id"])
-    return np.array([r["id"] for r in rows]), np.array([r["p"] for r in rows], np.float64), [np.array([r[v] for r in rows], np.float64) for v in values]
+    rows = points.select("id", "p", *[F.col(v).cast("double") for v in values]).toArrow()
+    order = np.argsort(rows.column("id").to_numpy(), kind="stable")
+    at = lambda c: rows.column(c).to_numpy()[order]
+    p = rows.column("p").combine_chunks()
+    return at("id"), p.flatten().to_numpy().astype(np.float64, copy=False).reshape(len(order), -1)[order] if len(order) else np.zeros((0, 0)), [at(v) for v in values]
 
 
 def kernel_operator(spark: SparkSession, points: np.ndarray, kernel: Callable, reg: float, store: str = "auto", path: str | None = None) -> LinearOperator:
-    """A kernel operator: `local`, `recompute`, `cache` or `parquet`; `auto` is local up to LOCAL unknowns and cached beyond."""
+    """A kernel operator: `local`, `recompute`, `cache` or `parquet`; `auto` is local up to LOCAL unknowns and recomputed beyond: n * n numbers are stored only where that is asked for."""
     if store == "local" or store == "auto" and len(points) <= LOCAL:
         return LocalOp(kernel(points, points) + reg * np.eye(len(points)))
     exact = RecomputeOp(spark, points, kernel, reg)
-    return exact if store == "recompute" else StoredOp(exact, path if store == "parquet" else None)
+    return exact if store in ("auto", "recompute") else StoredOp(exact, path if store == "parquet" else None)
 
 
 def from_blocks(rows: DataFrame, size: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from krylake.functions.kernels import bem_block, rbf_block
-from krylake.operators import blocks, reach
+from krylake.operators import blocks, linear, reach
 from krylake.operators.tree_sums import gaussian_sums
 from krylake.plans import catalogue, reaches
 from tests.conftest import SF
@@ -106,3 +106,21 @@ def test_near_and_equal_points_keep_their_distance():
     b = np.concatenate([a + 1e-7 * rng.random(a.shape), a])
     want = 1.0 / (1.0 + np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)))
     assert np.abs(bem_block(a, b) - want).max() < 1e-11
+
+
+@pytest.mark.parametrize("store", ["auto", "recompute", "cache", "parquet"])
+def test_products_hold_a_tile_at_a_time(spark, monkeypatch, tmp_path, store):
+    """No task is given a whole row of the kernel; by itself, an operator that doesn't fit the driver isn't stored."""
+    monkeypatch.setattr(linear, "LOCAL", 1)
+    rng = np.random.default_rng(7)
+    p, x = rng.random((5000, 3)), rng.random(5000)
+
+    def kernel(a, b):
+        if len(a) * len(b) > 512 * 2048:
+            raise ValueError("whole rows")
+        return rbf_block(2.0)(a, b)
+
+    op = linear.kernel_operator(spark, p, kernel, 0.1, store, str(tmp_path / "tiles"))
+    want = rbf_block(2.0)(p, p) @ x + 0.1 * x
+    assert isinstance(op, linear.RecomputeOp) == (store in ("auto", "recompute"))
+    assert np.allclose(op.matvec32(x), want, rtol=1e-4) and np.allclose(op.matvec64(np.stack([x, -x], 1)), np.stack([want, -want], 1))
