@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from krylake.functions.kernels import bem_block, rbf_block
-from krylake.operators import blocks, linear, reach, regression
+from krylake.operators import blocks, krylov, linear, reach, regression
 from krylake.operators.tree_sums import gaussian_sums
 from krylake.plans import catalogue, reaches
 from tests.conftest import SF
@@ -137,3 +137,14 @@ def test_many_sides_without_a_factor(spark, monkeypatch):
     got = {r["k"]: r for r in regression.solve_many(points, rhs, ["k"], 2.0, 0.1).collect()}
     a = rbf_block(2.0)(p, p) + 0.1 * np.eye(60)
     assert len(got) == 5 and all(np.allclose(a @ got[k]["weights"], x) and got[k]["rel_res"] < 1e-10 for k, x in enumerate(sides))
+
+
+def test_residuals_of_conjugate_gradients_may_grow():
+    """Ill-conditioned as a kernel of many points is: the residual grows at first, which is no end."""
+    p = np.random.default_rng(1).normal(size=(1200, 16))
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    op, b = linear.LocalOp(rbf_block(0.25)(p, p) + 0.002 * np.eye(1200)), np.arange(1200.0) % 10
+    _, history, done = krylov.cg(op, b, tol=1e-3)
+    assert done and max(r for _, r in history[1:]) > history[0][1]
+    x, rest = krylov.cg_many(op, np.stack([b, -2 * b], 1))
+    assert rest.max() < 1e-10 and np.allclose(op.a64 @ x, np.stack([b, -2 * b], 1))
