@@ -3,9 +3,9 @@
 Counts of words are exact; counts of n-grams are quantised to powers of two, and a Bloom filter holds
 an entry for each level up to that of the n-gram's count, so a count is read by probing level after
 level until one is missing. Tasks count their own n-grams first and hand on sorted blocks of hashes,
-one a bucket; a bucket merges its blocks and builds its part of the filter. While the filter is small
-enough it is broadcast; beyond that the probes go to the buckets, as the questions for exact word
-counts always do: a chunk of documents asks each bucket once about all its different words.
+one a bucket; a bucket merges its blocks and builds its part of the filter. A chunk of documents asks each
+bucket once about all its different words and n-grams. Chunks are packed where their rows are read, twice, so
+only their compressed texts are shuffled, once; hashes travel as compressed gaps between sorted numbers.
 """
 
 import numpy as np
@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from krylake.llm.common import batch, lowered, mixed, table, written
+from krylake.llm.pieces import opened, packed
 
 BITS, PROBES = 14, 6  # bits of the filter for an entry, hash functions
 FLUSH = 1 << 22  # n-grams that a task counts at once
 CHUNK_ROWS, CHUNK_BYTES = 2048, 6 << 20
-BROADCAST_BYTES = 64 << 20
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 BLOCKS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 BLOCKS_DDL = "kind int, bucket int, keys binary, counts binary"
@@ -67,13 +67,48 @@ def blocks(keys: np.ndarray, bits: int):
         yield int(bucket[lo]), slice(lo, hi)
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def wide(blob: bytes, form: str) -> np.ndarray:
+    """What narrow() was given."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(form).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(form).ravel()
+
+
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as their differences, which np.cumsum undoes."""
+    return np.diff(keys, prepend=keys.dtype.type(0))
+
+
+def below(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits of n-grams below those of the bucket."""
+    return ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+
+
+def counts_out(counts: np.ndarray) -> bytes:
+    """Counts in 1, 4 or 8 bytes each, the width in front."""
+    most = int(counts.max(initial=0))
+    form = "<u1" if most < 1 << 8 else "<u4" if most < 1 << 32 else "<u8"
+    return form[2].encode() + narrow(counts.astype(form))
+
+
+def counts_in(blob: bytes) -> np.ndarray:
+    return wide(blob[1:], f"<u{blob[:1].decode()}").astype(np.int64)
+
+
 def squeezed(keys: np.ndarray, counts: np.ndarray, kind: int, bits: int) -> tuple[bytes, bytes]:
     """Bytes of a block: n-grams keep 32 bits below those of the bucket; of their counts only those over one are kept."""
     if kind == 1:
-        return keys.tobytes(), counts.astype("<u4").tobytes() if counts.max() < 1 << 32 else counts.tobytes()
-    short = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+        return narrow(gaps(keys)), counts_out(counts)
     more = np.flatnonzero(counts > 1)
-    return short.tobytes(), np.stack([more, np.minimum(counts[more], (1 << 32) - 1)]).astype("<u4").tobytes()
+    return narrow(gaps(below(keys, bits))), narrow(np.stack([gaps(more), np.minimum(counts[more], (1 << 32) - 1)]).astype("<u4").ravel())
 
 
 def counted(docs: DataFrame, order: int, bits: int) -> DataFrame:
@@ -143,7 +178,11 @@ class Filters:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        short = ((keys << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint64)
+        return self.levels_at(bucket, below(keys, self.bits).astype(np.uint64))
+
+    def levels_at(self, bucket: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """The levels of n-grams by bucket and the bits below."""
+        keys = short
         out, left, level = np.full(len(keys), -1, np.int8), np.arange(len(keys)), 0  # -1: not in the filter
         while len(left) and level < 64:
             found = probes(short[left], level, self.size[bucket[left]])
@@ -168,13 +207,12 @@ def merged(count_blocks: DataFrame) -> DataFrame:
         keys, counts = [], []
         for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
             if kind == 1:
-                own = np.frombuffer(k, np.uint64)
-                n = np.frombuffer(c, "<u4" if len(c) == 4 * len(own) else np.int64).astype(np.int64)
+                own, n = np.cumsum(wide(k, "<u8"), dtype=np.uint64), counts_in(c)
             else:
-                own = np.frombuffer(k, "<u4").astype(np.uint64)
+                own = np.cumsum(wide(k, "<u4"), dtype=np.uint64)
                 n = np.ones(len(own), np.int64)
-                at, more = np.frombuffer(c, "<u4").reshape(2, -1)
-                n[at] = more
+                at, more = wide(c, "<u4").reshape(2, -1)
+                n[np.cumsum(at, dtype=np.int64)] = more
             keys.append(own)
             counts.append(n)
         k, n = summed(np.concatenate(keys), np.concatenate(counts))
@@ -198,14 +236,15 @@ def held_out(doc_id, mod: int = 7):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % mod == 2, F.lit(False))
 
 
-def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs` (doc_id, text; others are ignored).
 
     Bigrams: log10 of (1 - weight) * (c(w) + 1) / (N + V + 1) + weight * count(v w) / c(v), where the
     filter's count is the power of two at or below the true one (1 for counts of one), so that the
     probabilities of a context sum to at most one. Null and empty texts consist of the end alone.
     Rows without doc_id are learned from. With nothing to learn from, N = V = 0 and all scores are 0
-    or the weight's share of it. Rows that repeat count each time.
+    or the weight's share of it. Rows that repeat count each time. docs is read several times and has to give its rows
+    in the same order: a scan or a written table. `broadcast_bytes`: a filter up to this size goes to all tasks, through the driver.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
@@ -217,40 +256,48 @@ def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BRO
     trained = docs.filter(~held_out("doc_id")).count()
     small = 2 not in sums or sums[2]["size"] <= broadcast_bytes
     filters = docs.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["keys"]) for r in learned.filter("kind = 2").collect()} if small and 2 in sums else {})
-    by_chunk = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(chunks))).repartition("chunk")
+    chunked = packed(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), CHUNK_ROWS, CHUNK_BYTES)
 
-    def ask(group: pa.Table) -> pa.Table:
-        tokens = np.concatenate([token_hashes(t) for t in group.column("text").to_pylist()])
-        asked = [(1, np.unique(tokens))] if small else [(1, np.unique(tokens)), (2, np.unique(grams(tokens, 2)))]
-        out = [(group.column("chunk")[0].as_py(), kind, b, keys[s].tobytes()) for kind, keys in asked for b, s in blocks(keys, bits)]
-        return pa.Table.from_batches([batch(ASKED, *zip(*out, strict=True))])
+    def ask(batches):
+        for b in batches:
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                tokens = np.concatenate([token_hashes(t) for t in opened(blob.as_buffer()).column("text").to_pylist()])
+                out = [(chunk, 1, bucket, narrow(gaps(keys[s]))) for keys in [np.unique(tokens)] for bucket, s in blocks(keys, bits)]
+                if not small:
+                    keys = np.unique(grams(tokens, 2))
+                    out += [(chunk, 2, bucket, narrow(gaps(below(keys[s], bits)))) for bucket, s in blocks(keys, bits)]
+                yield batch(ASKED, *zip(*out, strict=True))
 
     def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
         for q in asked.itertuples():
-            keys = np.frombuffer(q.keys, np.uint64)
+            keys = np.cumsum(wide(q.keys, "<u8" if q.kind == 1 else "<u4"), dtype=np.uint64)
             if own.empty:
                 got = np.zeros(len(keys), np.int64)
             elif q.kind == 2:
-                got = Filters({q.bucket: own["keys"].iloc[0]}, bits).levels(keys).astype(np.int64) + 1
+                got = Filters({0: own["keys"].iloc[0]}, 0).levels_at(np.zeros(len(keys), np.int64), keys).astype(np.int64) + 1
             else:
                 known, counts = np.frombuffer(own["keys"].iloc[0], np.uint64), np.frombuffer(own["counts"].iloc[0], np.int64)
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 got = np.where(known[at] == keys, counts[at], 0)
-            out.append((q.chunk, q.kind, q.bucket, (got.astype("<u4") if got.max(initial=0) < 1 << 32 else got).tobytes(), len(keys)))
-        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "got", "n"])
+            out.append((q.chunk, q.kind, q.bucket, counts_out(got)))
+        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "got"])
 
     held: dict = {}
 
     def score(group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.Table.from_batches([], schema=SCORES)
-        texts = [token_hashes(t) for t in group.column("text").to_pylist()]
+        part = opened(group.column("blob")[0].as_buffer())
+        texts = [token_hashes(t) for t in part.column("text").to_pylist()]
         lengths, tokens = np.array([len(t) for t in texts]), np.concatenate(texts)
         pairs = grams(tokens, 2)
-        answers = sorted(zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("got").to_pylist(), told.column("n").to_pylist(), strict=True))
-        counts, levels = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(g, "<u4" if len(g) == 4 * n else np.int64).astype(np.int64) for k, _, g, n in answers if k == kind]]) for kind in (1, 2))
-        c = counts[np.unique(tokens, return_inverse=True)[1]]
+        answers = sorted(zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("got").to_pylist(), strict=True))
+        counts, levels = (np.concatenate([np.zeros(0, np.int64), *[counts_in(g) for k, _, g in answers if k == kind]]) for kind in (1, 2))
+        words, place = np.unique(tokens, return_inverse=True)
+        if len(words) != len(counts):
+            raise RuntimeError("the rows of docs came in another order than before: score a written table")
+        c = counts[place]
         if small:
             if "filter" not in held:
                 held["filter"] = Filters(filters.value, bits)
@@ -262,12 +309,12 @@ def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BRO
         before[starts] = trained
         base, model = (np.add.reduceat(x, starts) for x in scored(c, before, level, total, kinds, weight))
         known = np.add.reduceat((c > 0).astype(np.int64), starts)
-        return pa.Table.from_batches([batch(SCORES, group.column("doc_id").to_pylist(), group.column("held_out").to_pylist(), lengths, known, np.full(len(lengths), total), base, model)])
+        return pa.Table.from_batches([batch(SCORES, part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), lengths, known, np.full(len(lengths), total), base, model)])
 
-    asked = by_chunk.groupBy("chunk").applyInArrow(ask, "chunk long, kind int, bucket int, keys binary")
+    asked = chunked.mapInArrow(ask, "chunk long, kind int, bucket int, keys binary")
     tables = learned if not small else learned.filter("kind = 1")
-    told = asked.groupBy("kind", "bucket").cogroup(tables.groupBy("kind", "bucket")).applyInPandas(answer, "chunk long, kind int, bucket int, got binary, n long")
-    return by_chunk.withColumn("held_out", held_out("doc_id")).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, SCORES_DDL)
+    told = asked.groupBy("kind", "bucket").cogroup(tables.groupBy("kind", "bucket")).applyInPandas(answer, "chunk long, kind int, bucket int, got binary")
+    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, SCORES_DDL)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,8 +263,8 @@ def loosed(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in pairwise(at)]
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(chunk, blob): the rows (doc_id, text) of a task in compressed chunks of bounded size; a longer text is a chunk of its own."""
+def packed(docs: DataFrame, most_rows: int = CHUNK_ROWS, most_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, blob): the rows (doc_id, text, others) of a task in compressed chunks of bounded size; a longer text is a chunk of its own."""
     import pyarrow.compute as pc
 
     def run(batches):
@@ -280,12 +280,12 @@ def packed(docs: DataFrame) -> DataFrame:
             sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = 0
             while at < b.num_rows:
-                room = np.searchsorted(np.cumsum(sizes[at:]), CHUNK_BYTES - size, "right")
-                n = int(min(max(room, not rows), CHUNK_ROWS - rows, b.num_rows - at))
+                room = np.searchsorted(np.cumsum(sizes[at:]), most_bytes - size, "right")
+                n = int(min(max(room, not rows), most_rows - rows, b.num_rows - at))
                 if n:
                     held.append(b.slice(at, n))
                     rows, size, at = rows + n, size + int(sizes[at : at + n].sum()), at + n
-                if at < b.num_rows or rows >= CHUNK_ROWS or size >= CHUNK_BYTES:
+                if at < b.num_rows or rows >= most_rows or size >= most_bytes:
                     yield blob()
                     held, rows, size, k = [], 0, 0, k + 1
         if held:
