@@ -3,20 +3,22 @@
 Suspicious tokens (leetspeak inside words, letters spaced out, drawn-out repetitions) become a
 lattice of characters; Viterbi picks the restoration that a character trigram model and the channel
 find likeliest. The restored words and their beginnings are the features of a logistic model.
-Language model and classifier learn from at most `per_class` labelled texts of each class, picked by
-a hash of doc_id; the texts that are scored are read whole.
+Language model, features and classifier learn from all labelled texts that aren't held out: tasks count
+trigrams of characters and features, sums come together in a shuffle, and the weights are fitted over a
+distributed table. The driver holds the trigrams and the features that were chosen, never texts.
 """
 
 import math
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from krylake.llm.common import annotated, table
-from krylake.llm.langid import held_out, sampled, trainable
+from krylake.llm.common import annotated, batch, forget, table, written
+from krylake.llm.langid import held_out, trainable
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "*": "aeiou", "#": "h", "ø": "o"}
@@ -24,24 +26,40 @@ STRIP = ".,;:?\"'()[]{}<>-_/\\|!*~`#&=%+"
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(<€£¥*#]|[0-9@$!|+(<€£¥*#][^\W\d_]|([^\W\d_])\1\1|[^\W\d_]([.\-_*~])[^\W\d_]\2[^\W\d_]")
 SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?!\w)")
 CACHE = 100_000  # words a task remembers; beyond, it begins anew
+FLUSH = 200_000  # features that a task counts before it hands them on
+GRAMS = pa.schema([("gram", pa.string()), ("n", pa.int64())])
+FOUND = pa.schema([("f", pa.string()), ("k", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64()), ("before", pa.list_(pa.int64()))])
+TEXTS = pa.schema([("toxic", pa.int32()), ("at", pa.list_(pa.int32()))])
+
+
+def named(f: str, k: int) -> str:
+    return f if k == 1 else f"{f}#{k}"
 
 
 def repeated(hits: Counter) -> set[str]:
     """Features, and that two or three different words of the text have one."""
-    return {f if k == 1 else f"{f}#{k}" for f, n in hits.items() for k in range(1, min(n, 3) + 1)}
+    return {named(f, k) for f, n in hits.items() for k in range(1, min(n, 3) + 1)}
+
+
+def char_grams(words: Counter) -> Counter:
+    """How often the characters of words occur, alone and after the one or two before them."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        s = f"^^{w}$"
+        for i in range(2, len(s)):
+            for k in range(3):
+                out[s[i - k : i + 1]] += n
+    return out
 
 
 class CharModel:
     """Log-probabilities of a character after the two before it, interpolated with lower orders."""
 
-    def __init__(self, words: Counter):
+    def __init__(self, grams: dict[str, int]):
         self.counts, self.before = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
-        for w, n in words.items():
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                for k in range(3):
-                    self.counts[k][s[i - k : i + 1]] += n
-                    self.before[k][s[i - k : i]] += n
+        for g, n in grams.items():
+            self.counts[len(g) - 1][g] += n
+            self.before[len(g) - 1][g[:-1]] += n
         self.kinds, self.memo = len(self.counts[0]) + 1, {}
 
     def cost(self, context: str, c: str) -> float:
@@ -130,68 +148,112 @@ def features(word: str) -> list[str]:
     return [f"={word}", *[f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n]]
 
 
-def varied(texts: list[str], chars: CharModel, contexts: int) -> set[str]:
-    """Features with at least `contexts` different words before them in the texts; counted over numbers, not strings."""
-    ids: dict[str, int] = {"": 0}
-    at = []
-    for t in texts:
-        ws = t.lower().split()
-        at.append(np.fromiter((ids.setdefault(x, len(ids)) for x in ["", *ws, *sorted(tokens(t, chars).difference(ws))]), np.int64))
-    words, last = np.concatenate([a[1:] for a in at]), np.concatenate([a[:-1] for a in at])
-    pairs = np.unique(words * len(ids) + last)
-    words, last = pairs // len(ids), pairs % len(ids)
-    names: dict[str, int] = {}
-    own = [np.array([names.setdefault(f, len(names)) for w in normal(x, chars) for f in features(w)], np.int64) for x in ids]
-    n = np.array([len(x) for x in own])
-    flat, start = np.concatenate(own), np.cumsum(n) - n
-    k = n[words]
-    row = np.repeat(np.arange(len(words)), k)
-    found = flat[start[words][row] + np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)]
-    both = np.unique(found * len(ids) + last[row])
-    enough = np.bincount(both // len(ids), minlength=len(names)) >= contexts
-    return {f for f, i in names.items() if enough[i]}
-
-
-def fit(rows: list[tuple[int, str, int]], limit: int = 4000, rounds: int = 1500, contexts: int = 5, ratio: float = 5.0) -> dict | None:
-    """Character model, and weights of the features that tell toxic texts; None without rows of both classes.
+class Known:
+    """The features of words and of what they are restored to, of `able` if given; the last ones are remembered."""
+
+    def __init__(self, chars: CharModel, able: set[str] | None = None):
+        self.chars, self.able, self.memo = chars, able, {}
+
+    def __call__(self, x: str) -> tuple[str, ...]:
+        if (got := self.memo.get(x)) is None:
+            if len(self.memo) > CACHE:
+                self.memo.clear()
+            got = self.memo[x] = tuple(f for w in normal(x, self.chars) for f in features(w) if self.able is None or f in self.able)
+        return got
+
+
+def char_model(train: DataFrame) -> CharModel:
+    """The character model of all words of letters in the texts of `train`."""
+
+    def run(batches):
+        words: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                words.update(w for x in t.lower().split() if (w := x.strip(STRIP)).isalpha())
+                if len(words) > CACHE:
+                    got = char_grams(words)
+                    yield batch(GRAMS, list(got), list(got.values()))
+                    words.clear()
+        got = char_grams(words)
+        yield batch(GRAMS, list(got), list(got.values()))
+
+    sums = train.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return CharModel({r["gram"]: r["n"] for r in sums.collect()})
+
+
+def evidence(train: DataFrame, chars: CharModel, contexts: int) -> DataFrame:
+    """(f, k, n0, n1, before): of a task's texts, clean and toxic ones with k different words that have the feature f; hashes of words before it in toxic
+    ones, `contexts` at most: so many of one task are enough."""
+
+    def run(batches):
+        known, seen, before = Known(chars), defaultdict(lambda: [0, 0]), defaultdict(set)
+
+        def out():
+            keys = list(seen)
+            return batch(FOUND, [f for f, _ in keys], [k for _, k in keys], [seen[x][0] for x in keys], [seen[x][1] for x in keys], [list(before.get(f, ())) if k == 1 else [] for f, k in keys])
+
+        for b in batches:
+            for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = t.lower().split()
+                every = tokens(t, chars)
+                for f, n in Counter(f for x in every for f in known(x)).items():
+                    for k in range(1, min(n, 3) + 1):
+                        seen[f, k][label] += 1
+                if label:
+                    row = [*ws, *sorted(every.difference(ws))]
+                    for last, x in set(zip(["", *row], row, strict=False)):
+                        h = xxhash.xxh64_intdigest(last.encode("utf-8", "surrogatepass")) - (1 << 63)
+                        for f in known(x):
+                            if len(before[f]) < contexts:
+                                before[f].add(h)
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen.clear()
+                    before.clear()
+        if seen:
+            yield out()
+
+    return train.select("text", "toxic").mapInArrow(run, "f string, k int, n0 long, n1 long, before array<long>")
+
+
+def fit(train: DataFrame, limit: int = 4000, contexts: int = 5, ratio: float = 5.0) -> dict | None:
+    """Character model, and weights of the features that tell toxic texts; None without rows of both classes. train: text, toxic (0 or 1), a written table.
 
     A feature needs at least `contexts` different words before it in toxic texts (so that what
     copies of one text share doesn't count as evidence) and a share of toxic texts `ratio` times that of others.
     """
-    y = np.array([float(label) for _, _, label in rows])
-    if not len(y) or y.min() == y.max():
-        return None
-    chars = CharModel(Counter(w for _, t, _ in rows for x in t.lower().split() if (w := x.strip(STRIP)).isalpha()))
-    able = varied([t for _, t, label in rows if label], chars, contexts)
-    memo: dict[str, tuple] = {}
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    def known(x: str) -> tuple:
-        if (got := memo.get(x)) is None:
-            got = memo[x] = tuple(f for w in normal(x, chars) for f in features(w) if f in able)
-        return got
-
-    texts = [repeated(Counter(f for x in tokens(t, chars) for f in known(x))) for _, t, _ in rows]
-    memo.clear()
-    seen: dict[str, list] = defaultdict(lambda: [0, 0])
-    for fs, label in zip(texts, y, strict=True):
-        for f in fs:
-            seen[f][int(label)] += 1
-    n1, n0 = y.sum(), len(y) - y.sum()
-    worth = {f: c[1] / n1 - ratio * c[0] / n0 for f, c in seen.items()}
-    chosen = sorted((f for f in seen if worth[f] > 0), key=lambda f: (-worth[f], f))[:limit]
-    index = {f: i for i, f in enumerate(chosen)}
-    at = [np.array(sorted(index[f] for f in fs if f in index), np.int64) for fs in texts]
-    who, what = np.repeat(np.arange(len(y)), [len(a) for a in at]), np.concatenate([*at, np.zeros(0, np.int64)])
-    w, b, m, v = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
-    for i in range(1, rounds + 1):
-        z = b + np.bincount(who, w[what], minlength=len(y))
-        e = weight * (1 / (1 + np.exp(-z)) - y)
-        g = np.append(np.bincount(what, e[who], minlength=len(w)) + 1e-5 * w, e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
-        step = 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    return {"chars": chars, "weights": {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, "bias": float(b)}
+    n0, n1 = train.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
+    if not n0 or not n1:
+        return None
+    chars = char_model(train)
+    found = written(evidence(train, chars, contexts))
+    able = found.filter(F.size("before") > 0).select("f", F.explode("before").alias("b")).distinct().groupBy("f").agg(F.count("*").alias("c")).filter(F.col("c") >= contexts).select("f")
+    worth = F.sum("n1") / n1 - ratio * F.sum("n0") / n0
+    best = found.groupBy("f", "k").agg(worth.alias("worth")).filter("worth > 0").join(able, "f", "left_semi").orderBy(F.desc("worth"), "f", "k").limit(limit).collect()
+    forget(found)
+    chosen = [named(r["f"], r["k"]) for r in best]
+    if not chosen:
+        return {"chars": chars, "weights": {}, "bias": 0.0}
+    index, plain = {f: i for i, f in enumerate(chosen)}, {r["f"] for r in best}
+
+    def run(batches):
+        known = Known(chars, plain)
+        for b in batches:
+            at = [sorted(index[f] for f in repeated(Counter(f for x in tokens(t, chars) for f in known(x))) if f in index) for t in b.column(0).to_pylist()]
+            yield batch(TEXTS, b.column(1).to_pylist(), at)
+
+    size = len(chosen)
+    vector = F.udf(lambda at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())
+    weight = F.when(F.col("toxic") == 1, (n0 + n1) / (2 * n1)).otherwise((n0 + n1) / (2 * n0))  # both classes weigh the same
+    rows = written(train.select("text", "toxic").mapInArrow(run, "toxic int, at array<int>"))
+    points = rows.select(F.col("toxic").cast("double").alias("label"), weight.alias("weight"), vector("at").alias("features"))
+    model = LogisticRegression(weightCol="weight", regParam=1e-5, standardization=False, maxIter=100).fit(points)
+    forget(rows)
+    w = model.coefficients.toArray()
+    return {"chars": chars, "weights": {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, "bias": float(model.intercept)}
 
 
 def scorer(model: dict | None):
@@ -219,16 +281,15 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(own, F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", "toxic")
 
 
-def learned(docs: DataFrame, labels: DataFrame, per_class: int) -> dict | None:
-    """The model from labelled rows whose crc32(doc_id as text) mod 4 is not 2; rows are picked by their ids before texts are read. Of several texts with one doc_id one is learned from, told by its hash."""
-    ids = labelled(docs.withColumn("text", F.when(F.col("text").isNotNull(), F.lit(""))), labels)
-    picked = sorted({(r["doc_id"], r["toxic"]) for r in sampled(trainable(ids, "toxic"), "toxic", per_class, by=("doc_id",))})
-    few = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
-    return fit(sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows))
+def learned(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """The model from all labelled rows with a text whose crc32(doc_id as text) mod 4 is not 2; rows that repeat count each time."""
+    train = written(labelled(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), labels).transform(lambda d: trainable(d, "toxic")).select("text", F.least(F.col("toxic"), F.lit(1)).alias("toxic")), "zstd")
+    model = fit(train)
+    forget(train)
+    return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1200, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of `docs` (doc_id, text; other columns are ignored).
 
     labels: doc_id, toxic (null: no label). Null and empty texts get the score of a text without
@@ -236,12 +297,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1200, th
     Rows that repeat each get a row. No rows give none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return annotate(docs, labels, per_class, threshold).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").cast("int").alias("predicted"))
+    return annotate(docs, labels, threshold).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").cast("int").alias("predicted"))
 
 
-def annotate(docs: DataFrame, labels: DataFrame, per_class: int = 1200, threshold: float = 0.3) -> DataFrame:
+def annotate(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """`docs` with _held_out, _score and _predicted added; it has none of these."""
-    model = learned(docs.select("doc_id", "text"), labels, per_class)
+    model = learned(docs.select("doc_id", "text"), labels)
 
     def answer():
         score = scorer(model)
