@@ -4,7 +4,7 @@ Counts of words are exact; counts of n-grams are quantised to powers of two, and
 an entry for each level up to that of the n-gram's count, so a count is read by probing level after
 level until one is missing. Tasks count their own n-grams first and hand on sorted blocks of hashes,
 one a bucket; a bucket merges its blocks and builds its part of the filter. A chunk of documents asks each
-bucket once about all its different words and n-grams. Chunks are packed where their rows are read, twice, so
+bucket once about all its different words, and about its n-grams unless the filter is small enough to be broadcast. Chunks are packed where their rows are read, twice, so
 only their compressed texts are shuffled, once; hashes travel as compressed gaps between sorted numbers.
 """
 
@@ -21,6 +21,7 @@ from krylake.llm.pieces import opened, packed
 BITS, PROBES = 14, 6  # bits of the filter for an entry, hash functions
 FLUSH = 1 << 22  # n-grams that a task counts at once
 CHUNK_ROWS, CHUNK_BYTES = 2048, 6 << 20
+BROADCAST_BYTES = 64 << 20
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 BLOCKS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 BLOCKS_DDL = "kind int, bucket int, keys binary, counts binary"
@@ -236,7 +237,7 @@ def held_out(doc_id, mod: int = 7):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % mod == 2, F.lit(False))
 
 
-def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = 0) -> DataFrame:
+def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs` (doc_id, text; others are ignored).
 
     Bigrams: log10 of (1 - weight) * (c(w) + 1) / (N + V + 1) + weight * count(v w) / c(v), where the
