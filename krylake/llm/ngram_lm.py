@@ -2,30 +2,32 @@
 
 Counts of words are exact; counts of n-grams are quantised to powers of two, and a Bloom filter holds
 an entry for each level up to that of the n-gram's count, so a count is read by probing level after
-level until one is missing. Tasks count their own n-grams first and hand on sorted blocks of hashes,
-one a bucket; a bucket merges its blocks and builds its part of the filter. A chunk of documents asks each
-bucket once about all its different words, and about its n-grams unless the filter is small enough to be broadcast. Chunks are packed where their rows are read, twice, so
-only their compressed texts are shuffled, once; hashes travel as compressed gaps between sorted numbers.
+level until one is missing. A chunk of documents sends each bucket its different words and n-grams once, with
+their counts in its training texts: the bucket adds up the counts, builds its part of the filter and answers all
+chunks. So every hash is shuffled once, both to be counted and to be asked about, and no filter leaves its bucket. Chunks are
+made where their rows are read, twice, and only their compressed texts are shuffled, once; hashes travel as compressed gaps between sorted numbers.
 """
 
+import functools
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from krylake.llm.common import batch, lowered, mixed, table, written
-from krylake.llm.pieces import opened, packed
+from krylake.llm.pieces import chunks_of, opened, packed
 
 BITS, PROBES = 14, 6  # bits of the filter for an entry, hash functions
-FLUSH = 1 << 22  # n-grams that a task counts at once
+PROBED = 1 << 19  # n-grams that a bucket answers at once
 CHUNK_ROWS, CHUNK_BYTES = 2048, 6 << 20
 BROADCAST_BYTES = 64 << 20
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-BLOCKS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-BLOCKS_DDL = "kind int, bucket int, keys binary, counts binary"
-ASKED = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary())])
+ASKED = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ASKED_DDL = "chunk long, kind int, bucket int, keys binary, counts binary"
+TOLD = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("got", pa.binary()), ("kinds", pa.int64()), ("total", pa.int64())])
+TOLD_DDL = "chunk long, kind int, bucket int, got binary, kinds long, total long"
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -68,18 +70,22 @@ def blocks(keys: np.ndarray, bits: int):
         yield int(bucket[lo]), slice(lo, hi)
 
 
-def narrow(values: np.ndarray) -> bytes:
-    """Unsigned numbers as planes of bytes, compressed."""
+@functools.cache
+def codec() -> tuple:
+    """One compressor and one decompressor a process: each takes longer to make than a block to squeeze."""
     import zstandard
 
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, compressed."""
+    return codec()[0].compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
 
 def wide(blob: bytes, form: str) -> np.ndarray:
     """What narrow() was given."""
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(form).itemsize, -1)
+    planes = np.frombuffer(codec()[1].decompress(blob), np.uint8).reshape(np.dtype(form).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(form).ravel()
 
 
@@ -105,38 +111,30 @@ def counts_in(blob: bytes) -> np.ndarray:
 
 
 def squeezed(keys: np.ndarray, counts: np.ndarray, kind: int, bits: int) -> tuple[bytes, bytes]:
-    """Bytes of a block: n-grams keep 32 bits below those of the bucket; of their counts only those over one are kept."""
+    """Bytes of a block: n-grams keep 32 bits below those of the bucket; of their counts only those other than one are kept."""
     if kind == 1:
         return narrow(gaps(keys)), counts_out(counts)
-    more = np.flatnonzero(counts > 1)
-    return narrow(gaps(below(keys, bits))), narrow(np.stack([gaps(more), np.minimum(counts[more], (1 << 32) - 1)]).astype("<u4").ravel())
+    other = np.flatnonzero(counts != 1)
+    return narrow(gaps(below(keys, bits))), narrow(np.stack([gaps(other), np.minimum(counts[other], (1 << 32) - 1)]).astype("<u4").ravel())
 
 
-def counted(docs: DataFrame, order: int, bits: int) -> DataFrame:
-    """Blocks of counts over training documents: kind 1 words, kind 2 n-grams of that order."""
-
-    def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            tokens = np.concatenate(held)
-            for kind, keys in ((1, tokens), (2, grams(tokens, order))):
-                keys, counts = summed(keys)
-                rows = [(kind, b, *squeezed(keys[s], counts[s], kind, bits)) for b, s in blocks(keys, bits)]
-                yield batch(BLOCKS, *zip(*rows, strict=True))
+def loosed(kind: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (of n-grams the bits below those of the bucket) and counts of a block."""
+    if kind == 1:
+        return np.cumsum(wide(keys, "<u8"), dtype=np.uint64), counts_in(counts)
+    own = np.cumsum(wide(keys, "<u4"), dtype=np.uint64)
+    n = np.ones(len(own), np.int64)
+    at, other = wide(counts, "<u4").reshape(2, -1)
+    n[np.cumsum(at, dtype=np.int64)] = other
+    return own, n
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                held.append(token_hashes(text))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
 
-    return docs.select("text").mapInArrow(run, BLOCKS_DDL)
+def different(tokens: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    """What a chunk's tokens are told apart by: words, or bigrams by the bits of the bucket and the 32 below them, others zero."""
+    if kind == 1:
+        return tokens
+    rest = np.uint64(32 - bits)
+    return grams(tokens, 2) >> rest << rest
 
 
 def probes(keys: np.ndarray, level: int, size: np.ndarray | int):
@@ -200,29 +198,28 @@ class Filters:
         return out
 
 
-def merged(count_blocks: DataFrame) -> DataFrame:
-    """A row for each kind and bucket: words' keys and counts, or the filter of n-grams; distinct and total numbers."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
-        keys, counts = [], []
-        for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
-            if kind == 1:
-                own, n = np.cumsum(wide(k, "<u8"), dtype=np.uint64), counts_in(c)
-            else:
-                own = np.cumsum(wide(k, "<u4"), dtype=np.uint64)
-                n = np.ones(len(own), np.int64)
-                at, more = wide(c, "<u4").reshape(2, -1)
-                n[np.cumsum(at, dtype=np.int64)] = more
-            keys.append(own)
-            counts.append(n)
-        k, n = summed(np.concatenate(keys), np.concatenate(counts))
-        total = int(n.sum())
-        if kind == 1:
-            return pd.DataFrame({"kind": [1], "bucket": [bucket], "keys": [k.tobytes()], "counts": [n.tobytes()], "kinds": [len(k)], "total": [total]})
-        return pd.DataFrame({"kind": [2], "bucket": [bucket], "keys": [bloom(k, n)], "counts": [b""], "kinds": [len(k)], "total": [total]})
-
-    return count_blocks.groupBy("kind", "bucket").applyInPandas(run, f"{BLOCKS_DDL}, kinds long, total long")
+def answered(asked: pa.Table) -> pa.Table:
+    """For each block of a bucket (kind, bucket) its answers: training counts of words, levels of n-grams + 1. A row without chunk has the distinct and total numbers."""
+    kind, bucket = asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py()
+    own = [loosed(kind, k, c) for k, c in zip(asked.column("keys").to_pylist(), asked.column("counts").to_pylist(), strict=True)]
+    keys, counts = summed(np.concatenate([k for k, _ in own]), np.concatenate([n for _, n in own]))
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    got: list[bytes] = []
+    if kind == 1:
+        for k, _ in own:
+            at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+            got.append(counts_out(np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)))
+    else:
+        filters, sizes = Filters({0: bloom(keys, counts)}, 0), np.array([len(k) for k, _ in own])
+        part = np.cumsum(sizes) // PROBED
+        for p in range(int(part[-1]) + 1):  # blocks are short: several are probed together
+            some = np.flatnonzero(part == p)
+            if len(some):
+                short = np.concatenate([own[i][0] for i in some])
+                levels = filters.levels_at(np.zeros(len(short), np.int64), short).astype(np.int64) + 1
+                got += map(counts_out, np.split(levels, np.cumsum(sizes[some])[:-1]))
+    n = len(got)
+    return pa.Table.from_batches([batch(TOLD, [*asked.column("chunk").to_pylist(), None], [kind] * (n + 1), [bucket] * (n + 1), [*got, None], [None] * n + [len(keys)], [None] * n + [int(counts.sum())])])
 
 
 def scored(c: np.ndarray, before: np.ndarray, levels: np.ndarray, total: int, kinds: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
@@ -245,46 +242,32 @@ def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BRO
     probabilities of a context sum to at most one. Null and empty texts consist of the end alone.
     Rows without doc_id are learned from. With nothing to learn from, N = V = 0 and all scores are 0
     or the weight's share of it. Rows that repeat count each time. docs is read several times and has to give its rows
-    in the same order: a scan or a written table. `broadcast_bytes`: a filter up to this size goes to all tasks, through the driver.
+    in the same order: a scan or a written table. `broadcast_bytes` has no effect: hashes go to their buckets to be counted, and are
+    answered there, so a filter of any size stays where it is.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    learns = ~held_out("doc_id")
+    rows, size, trained = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.when(learns, 1))).first()
     chunks = max(1, -(-rows // CHUNK_ROWS), -(-size // CHUNK_BYTES))
     bits = max(4, min(14, int(chunks).bit_length()))
-    learned = written(merged(counted(docs.filter(~held_out("doc_id")), 2, bits)))
-    sums = {r["kind"]: r for r in learned.groupBy("kind").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"), F.sum(F.octet_length("keys")).alias("size")).collect()}
-    total, kinds = (int(sums[1][k]) if 1 in sums else 0 for k in ("total", "kinds"))
-    trained = docs.filter(~held_out("doc_id")).count()
-    small = 2 not in sums or sums[2]["size"] <= broadcast_bytes
-    filters = docs.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["keys"]) for r in learned.filter("kind = 2").collect()} if small and 2 in sums else {})
-    chunked = packed(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), CHUNK_ROWS, CHUNK_BYTES)
+    own = docs.select("doc_id", "text", held_out("doc_id").alias("held_out"))
 
     def ask(batches):
-        for b in batches:
-            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                tokens = np.concatenate([token_hashes(t) for t in opened(blob.as_buffer()).column("text").to_pylist()])
-                out = [(chunk, 1, bucket, narrow(gaps(keys[s]))) for keys in [np.unique(tokens)] for bucket, s in blocks(keys, bits)]
-                if not small:
-                    keys = np.unique(grams(tokens, 2))
-                    out += [(chunk, 2, bucket, narrow(gaps(below(keys[s], bits)))) for bucket, s in blocks(keys, bits)]
+        for chunk, part in chunks_of(batches, CHUNK_ROWS, CHUNK_BYTES):
+            texts = [token_hashes(t) for t in part.column("text").to_pylist()]
+            tokens, train = np.concatenate(texts), np.repeat(~np.array(part.column("held_out").to_pylist(), bool), [len(t) for t in texts])
+            del texts
+            for kind in (1, 2):
+                every = different(tokens, kind, bits)
+                keys, (seen, n) = np.unique(every), summed(every[train])
+                counts = np.zeros(len(keys), np.int64)
+                counts[np.searchsorted(keys, seen)] = n
+                out = [(chunk, kind, bucket, *squeezed(keys[s], counts[s], kind, bits)) for bucket, s in blocks(keys, bits)]
                 yield batch(ASKED, *zip(*out, strict=True))
 
-    def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for q in asked.itertuples():
-            keys = np.cumsum(wide(q.keys, "<u8" if q.kind == 1 else "<u4"), dtype=np.uint64)
-            if own.empty:
-                got = np.zeros(len(keys), np.int64)
-            elif q.kind == 2:
-                got = Filters({0: own["keys"].iloc[0]}, 0).levels_at(np.zeros(len(keys), np.int64), keys).astype(np.int64) + 1
-            else:
-                known, counts = np.frombuffer(own["keys"].iloc[0], np.uint64), np.frombuffer(own["counts"].iloc[0], np.int64)
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                got = np.where(known[at] == keys, counts[at], 0)
-            out.append((q.chunk, q.kind, q.bucket, counts_out(got)))
-        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "got"])
-
-    held: dict = {}
+    told = written(own.mapInArrow(ask, ASKED_DDL).groupBy("kind", "bucket").applyInArrow(answered, TOLD_DDL))
+    sums = {r["kind"]: r for r in told.filter("chunk IS NULL").groupBy("kind").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total")).collect()}
+    total, kinds = (int(sums[1][k]) if 1 in sums else 0 for k in ("total", "kinds"))
 
     def score(group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows:
@@ -292,19 +275,13 @@ def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BRO
         part = opened(group.column("blob")[0].as_buffer())
         texts = [token_hashes(t) for t in part.column("text").to_pylist()]
         lengths, tokens = np.array([len(t) for t in texts]), np.concatenate(texts)
-        pairs = grams(tokens, 2)
         answers = sorted(zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("got").to_pylist(), strict=True))
         counts, levels = (np.concatenate([np.zeros(0, np.int64), *[counts_in(g) for k, _, g in answers if k == kind]]) for kind in (1, 2))
         words, place = np.unique(tokens, return_inverse=True)
         if len(words) != len(counts):
             raise RuntimeError("the rows of docs came in another order than before: score a written table")
         c = counts[place]
-        if small:
-            if "filter" not in held:
-                held["filter"] = Filters(filters.value, bits)
-            level = held["filter"].levels(pairs)
-        else:
-            level = levels[np.unique(pairs, return_inverse=True)[1]] - 1
+        level = levels[np.unique(different(tokens, 2, bits), return_inverse=True)[1]] - 1
         starts = np.cumsum(lengths) - lengths
         before = np.append(0, c[:-1])
         before[starts] = trained
@@ -312,10 +289,8 @@ def score_texts(docs: DataFrame, weight: float = 0.2, broadcast_bytes: int = BRO
         known = np.add.reduceat((c > 0).astype(np.int64), starts)
         return pa.Table.from_batches([batch(SCORES, part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), lengths, known, np.full(len(lengths), total), base, model)])
 
-    asked = chunked.mapInArrow(ask, "chunk long, kind int, bucket int, keys binary")
-    tables = learned if not small else learned.filter("kind = 1")
-    told = asked.groupBy("kind", "bucket").cogroup(tables.groupBy("kind", "bucket")).applyInPandas(answer, "chunk long, kind int, bucket int, got binary")
-    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, SCORES_DDL)
+    answers = told.filter("chunk IS NOT NULL").select("chunk", "kind", "bucket", "got")
+    return packed(own, CHUNK_ROWS, CHUNK_BYTES).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORES_DDL)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,33 +263,36 @@ def loosed(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in pairwise(at)]
 
 
-def packed(docs: DataFrame, most_rows: int = CHUNK_ROWS, most_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, blob): the rows (doc_id, text, others) of a task in compressed chunks of bounded size; a longer text is a chunk of its own."""
+def chunks_of(batches, most_rows: int, most_bytes: int):
+    """(chunk, table): the rows (doc_id, text, others) of a task in chunks of bounded size; a longer text is a chunk of its own."""
     import pyarrow.compute as pc
 
-    def run(batches):
-        held, rows, size, k = [], 0, 0, 0
+    held, rows, size, k, task = [], 0, 0, 0, TaskContext.get().partitionId() << 32
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < b.num_rows:
+            room = np.searchsorted(np.cumsum(sizes[at:]), most_bytes - size, "right")
+            n = int(min(max(room, not rows), most_rows - rows, b.num_rows - at))
+            if n:
+                held.append(b.slice(at, n))
+                rows, size, at = rows + n, size + int(sizes[at : at + n].sum()), at + n
+            if at < b.num_rows or rows >= most_rows or size >= most_bytes:
+                yield task | k, pa.Table.from_batches(held)
+                held, rows, size, k = [], 0, 0, k + 1
+    if held:
+        yield task | k, pa.Table.from_batches(held)
 
-        def blob():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as w:
-                w.write_table(pa.Table.from_batches(held).combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
 
-        for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = 0
-            while at < b.num_rows:
-                room = np.searchsorted(np.cumsum(sizes[at:]), most_bytes - size, "right")
-                n = int(min(max(room, not rows), most_rows - rows, b.num_rows - at))
-                if n:
-                    held.append(b.slice(at, n))
-                    rows, size, at = rows + n, size + int(sizes[at : at + n].sum()), at + n
-                if at < b.num_rows or rows >= most_rows or size >= most_bytes:
-                    yield blob()
-                    held, rows, size, k = [], 0, 0, k + 1
-        if held:
-            yield blob()
+def packed(docs: DataFrame, most_rows: int = CHUNK_ROWS, most_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, blob): the rows of chunks_of(), compressed."""
+
+    def run(batches):
+        for chunk, part in chunks_of(batches, most_rows, most_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as w:
+                w.write_table(part.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
 
     return docs.mapInArrow(run, PACKED_DDL)
 
