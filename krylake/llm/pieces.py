@@ -27,6 +27,7 @@ from krylake.llm.common import table, written
 
 SPACE = "▁"
 CHUNK_ROWS, CHUNK_BYTES = 16384, 8 << 20
+SLICE = 1 << 20  # signs of texts that are cut into runs at once
 PAIRS = 200_000  # pairs of pieces whose answer a task remembers
 BLOCK = 256  # signs that the inner fold takes at once: arrays are copied when they grow
 NEVER = (1 << 20) - 1  # later than any rank
@@ -301,10 +302,23 @@ def opened(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def by_bucket(own: list[str], buckets: int) -> dict[int, list[bytes]]:
+def few(texts: list[str | None], most: int = SLICE):
+    """Texts some at a time, by about `most` signs: cutting them into runs takes many times their size."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def by_bucket(own: set[str], buckets: int) -> dict[int, list[bytes]]:
     """Distinct runs by bucket, sorted."""
     out: dict[int, list[bytes]] = {}
-    for r in sorted(r.encode() for r in set(own)):
+    for r in sorted(r.encode() for r in own):
         out.setdefault(zlib.crc32(r) % buckets, []).append(r)
     return out
 
@@ -320,14 +334,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     chunks = max(1, -(-rows // CHUNK_ROWS), -(-size // CHUNK_BYTES))
     buckets, width = 4 * chunks, 2 if processor(path).get_piece_size() < 1 << 16 else 4  # bytes of an id
-    chunked = packed(docs)
 
     def ask(batches):
-        for b in batches:
-            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own, _ = runs(opened(blob.as_buffer()).column("text").to_pylist(), path)
-                if asked := by_bucket(own, buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(asked), pa.int64()), pa.array(list(asked), pa.int32()), pa.array([squeezed(x) for x in asked.values()], pa.binary())], schema=ASKED)
+        for chunk, part in chunks_of(batches, CHUNK_ROWS, CHUNK_BYTES):
+            own: set[str] = set()
+            for texts in few(part.column("text").to_pylist()):
+                own.update(runs(texts, path)[0])
+            if asked := by_bucket(own, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(asked), pa.int64()), pa.array(list(asked), pa.int32()), pa.array([squeezed(x) for x in asked.values()], pa.binary())], schema=ASKED)
 
     def distinct(asked: pa.Table) -> pa.Table:
         """A bucket's distinct runs, and for each chunk which of them it asks for, by their place among the sorted ones."""
@@ -348,24 +362,39 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         if not chunk.num_rows:
             return pa.Table.from_batches([], schema=ENCODED)
         part = opened(chunk.column("blob")[0].as_buffer())
-        own, n = runs(part.column("text").to_pylist(), path)
-        asked = by_bucket(own, buckets)
+        every: dict[str, int] = {}  # a number for each run
+        places, counts = [], []
+        for texts in few(part.column("text").to_pylist()):
+            own, n = runs(texts, path)
+            places.append(np.fromiter((every.setdefault(r, len(every)) for r in own), np.int64, len(own)))
+            counts.append(n)
+        asked = by_bucket(set(every), buckets)
         if set(told.column("bucket").to_pylist()) != set(asked):
             raise RuntimeError("the rows of docs came in another order than before: encode a written table")
-        known: dict[str, bytes] = {}
-        for bucket, got in zip(told.column("bucket").to_pylist(), told.column("ids").to_pylist(), strict=True):
-            known.update(zip((r.decode() for r in asked[bucket]), loosed(got), strict=True))
-        found = list(map(known.__getitem__, own))
-        ends = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))[np.append(0, np.cumsum(n))] // width
-        ids = np.frombuffer(b"".join(found), f"<u{width}").astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        known: list[bytes] = [b""] * len(every)
+        for bucket, got in zip(told.column("bucket").to_pylist(), told.column("ids"), strict=True):
+            for r, ids in zip(asked.pop(bucket), loosed(got.as_buffer()), strict=True):
+                known[every[r.decode()]] = ids
+        del every
+        ids = np.frombuffer(b"".join(known), f"<u{width}").astype(np.int32)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // width
+        first, own = np.cumsum(sizes) - sizes, np.concatenate(places)
+        del known, places
+        ends = np.append(0, np.cumsum(sizes[own]))  # of the runs of all texts among their ids
+        out = np.empty(int(ends[-1]), np.int32)
+        for at in range(0, len(own), 1 << 18):
+            some = own[at : at + (1 << 18)]
+            lo, hi = ends[at], ends[at + len(some)]
+            out[lo:hi] = ids[np.repeat(first[some] - ends[at : at + len(some)], sizes[some]) + np.arange(lo, hi)]
+        ends = ends[np.append(0, np.cumsum(np.concatenate(counts)))]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
         return pa.table([part.column("doc_id").combine_chunks(), pa.array(np.diff(ends)), lists], schema=ENCODED)
 
-    wanted = written(chunked.mapInArrow(ask, ASKED_DDL).groupBy("bucket").applyInArrow(distinct, "bucket int, run string, chunk long, at binary"), "zstd")
+    wanted = written(docs.mapInArrow(ask, ASKED_DDL).groupBy("bucket").applyInArrow(distinct, "bucket int, run string, chunk long, at binary"), "zstd")
     found = lattice(wanted.filter("run IS NOT NULL").select("bucket", "run").repartition(2 * chunks, "bucket"), path)
     wishes = wanted.filter("run IS NULL").select(F.col("bucket").alias("of"), F.col("chunk").alias("by"), F.col("at").alias("which"))
     told = wishes.groupBy("of").cogroup(found.groupBy("bucket")).applyInArrow(answer, TOLD_DDL)
-    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_pieces long, ids array<int>")
+    return packed(docs).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_pieces long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", name: str = "text") -> DataFrame:
