@@ -4,6 +4,8 @@ An operator of n unknowns stands for n * n numbers; vectors of n numbers live on
 the points they are the square root of the work. Their size is checked before it is broadcast.
 """
 
+import functools
+from collections import defaultdict
 from collections.abc import Callable
 from typing import Protocol
 
@@ -13,8 +15,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from krylake.operators.features import Preconditioner, Quadratic, both, cubic, rest_block
+
 LOCAL = 8192  # unknowns up to which an operator fits the driver
 BROADCAST_BYTES = 512 << 20
+SIDE = 8  # groups of points, whose pairs are tasks: 36
+STORED_BYTES = 1 << 30  # of tiles that a stored operator holds at most
 
 
 class LinearOperator(Protocol):
@@ -56,82 +62,151 @@ class LocalOp:
 
 
 class RecomputeOp:
-    """Kernel rows computed from the points in tasks, a tile of `rows` x `columns` at a time, never stored."""
+    """Kernel rows computed from the points in tasks, a tile of `rows` x `columns` at a time, never stored. The kernel is symmetric.
+
+    Points fall into at most SIDE groups; a task takes two groups, and off the diagonal its tiles serve both of them: half of the kernel's numbers are computed."""
 
     def __init__(self, spark: SparkSession, points: np.ndarray, kernel: Callable, reg: float, rows: int = 512, columns: int = 2048):
         self.spark, self.n, self.rows, self.columns = spark, len(points), rows, columns
         self.kernel, self.reg = kernel, reg
-        self.points = spark.sparkContext.broadcast(checked(np.asarray(points, np.float64)))
+        points = checked(np.asarray(points, np.float64))
+        self.points, self.gamma = spark.sparkContext.broadcast(points), getattr(kernel, "gamma", None)
+        low = None if self.gamma is None or not self.n else Quadratic(points, self.gamma)
+        self.mixed = low is not None and low.reach <= 1 and low.used == points.shape[1]
+        if self.mixed:  # a Gaussian of points that lie close: single precision holds all of the kernel but its quadratic part, which is taken in double
+            self.low, self.damping, self.rest = spark.sparkContext.broadcast(low), low.of(points)[1], rest_block(cubic(max(low.reach, 1e-3)))
+        across = -(-self.n // columns)
+        count = max(1, min(SIDE, across))
+        ends = [min(self.n, g * across // count * columns) for g in range(1 + count)]
+        groups = list(zip(ends[:-1], ends[1:], strict=True))
+        self.pairs = [(*a, *b) for k, a in enumerate(groups) for b in groups[k:]]
 
     def tiles(self, dtype) -> Callable:
-        points, kernel, reg, rows, columns = self.points, self.kernel, self.reg, self.rows, self.columns
+        """A function of two groups of points (first, end, first, end) that gives one of their tiles. In single precision and of a mixed product it is of what the quadratic part leaves, undamped."""
+        points, kernel, reg = self.points, self.kernel, self.reg
+        if self.mixed and dtype == np.float32:
+            low, rest = self.low, self.rest
+
+            def pair(i: int, i_end: int, j: int, j_end: int) -> Callable:
+                p, q = (low.value.of(points.value[a:b])[0].astype(np.float32) for a, b in ((i, i_end), (j, j_end)))
+                return lambda a, a_end, b, b_end: rest(p[a - i : a_end - i], q[b - j : b_end - j])
 
-        def tile(i: int, j: int) -> np.ndarray:
-            p, first = points.value, j * columns - i * rows
-            a = kernel(p[i * rows : (i + 1) * rows], p[j * columns : (j + 1) * columns]).astype(dtype, copy=False)
-            r = np.arange(max(0, first), min(len(a), first + a.shape[1]))
-            a[r, r - first] += dtype(reg)
+            return pair
+
+        def tile(i: int, i_end: int, j: int, j_end: int) -> np.ndarray:
+            a = kernel(points.value[i:i_end], points.value[j:j_end]).astype(dtype, copy=False)
+            r = np.arange(max(i, j), min(i_end, j_end))
+            a[r - i, r - j] += dtype(reg)
             return a
 
-        return tile
+        return lambda *_: tile
+
+    def single(self, x: np.ndarray, product: Callable) -> np.ndarray:
+        """The operator's product, given that with its single-precision tiles. Of a mixed product some 1e-7 is lost, as the quadratic part is taken in double precision."""
+        if not self.mixed:
+            return product(x)
+        damping = self.damping.reshape(-1, *[1] * (x.ndim - 1))
+        return damping * product(damping * x) + both(self.spark, self.points, self.low, self.n, x) + self.reg * x
 
-    def _apply(self, x, dtype):
-        """The product with a vector, or with each column of a matrix."""
-        v, tile, columns, across = self.spark.sparkContext.broadcast(checked(x.astype(dtype))), self.tiles(dtype), self.columns, -(-self.n // self.columns)
+    def over(self, x: np.ndarray, dtype, pairs: list[tuple]) -> np.ndarray:
+        """What tiles of these pairs of groups add to the product with a vector, or with each column of a matrix."""
+        if not pairs:
+            return np.zeros(x.shape)
+        v, tiles, rows, columns = self.spark.sparkContext.broadcast(checked(x.astype(dtype))), self.tiles(dtype), self.rows, self.columns
 
         def run(batches):
             for pdf in batches:
-                for i in pdf["id"]:
-                    y = sum((tile(int(i), j) @ v.value[j * columns : (j + 1) * columns]).astype(np.float64) for j in range(across))
-                    yield pd.DataFrame({"i": [i], "y": [y.tobytes()]})
-
-        got = self.spark.range(-(-self.n // self.rows)).mapInPandas(run, "i long, y binary").collect()
-        v.unpersist()
-        return np.concatenate([np.frombuffer(r["y"]) for r in sorted(got, key=lambda r: r["i"])]).reshape(x.shape)
+                for k in pdf["id"]:
+                    i, i_end, j, j_end = pairs[k]
+                    tile = tiles(*pairs[k])
+                    y, z = np.zeros((i_end - i, *v.value.shape[1:])), np.zeros((j_end - j, *v.value.shape[1:]))
+                    for a, a_end, b, b_end in within(pairs[k], rows, columns):
+                        t = tile(a, a_end, b, b_end)
+                        y[a - i : a_end - i] += t @ v.value[b:b_end]
+                        if i != j:
+                            z[b - j : b_end - j] += t.T @ v.value[a:a_end]
+                    yield pd.DataFrame({"at": [i, j], "y": [y.tobytes(), z.tobytes()]})
+
+        got = self.spark.range(0, len(pairs), 1, len(pairs)).mapInPandas(run, "at long, y binary").collect()
+        v.destroy()
+        return added(x.shape, got)
+
+    @functools.cached_property
+    def precondition(self) -> Callable | None:
+        """An approximate inverse, of a Gaussian kernel; made when first asked for."""
+        return None if self.gamma is None or not self.n else Preconditioner(self.spark, self.points, self.gamma, self.reg)
 
     def matvec32(self, x):
-        return self._apply(x, np.float32)
+        return self.single(x, lambda v: self.over(v, np.float32, self.pairs))
 
     def matvec64(self, x):
-        return self._apply(x, np.float64)
+        return self.over(x, np.float64, self.pairs)
+
+
+def within(pair: tuple, rows: int, columns: int) -> list[tuple]:
+    """The tiles (i, its end, j, its end) of two groups of points."""
+    i, i_end, j, j_end = pair
+    return [(a, min(i_end, a + rows), b, min(j_end, b + columns)) for b in range(j, j_end, columns) for a in range(i, i_end, rows)]
+
+
+def added(shape: tuple, parts: list) -> np.ndarray:
+    """The sum of parts (at, y) of a vector, or of the rows of a matrix."""
+    y = np.zeros(shape)
+    for r in parts:
+        part = np.frombuffer(r["y"]).reshape(-1, *shape[1:])
+        y[r["at"] : r["at"] + len(part)] += part
+    return y
 
 
 class StoredOp:
-    """Tiles in single precision, cached (`path` None: what memory doesn't hold goes to disk) or in Parquet; double precision is recomputed from the points."""
+    """Tiles in single precision, cached (`path` None: what memory doesn't hold goes to disk) or in Parquet, up to STORED_BYTES: those beyond are recomputed for each product, in single precision too.
+    Double precision is recomputed from the points."""
 
     def __init__(self, exact: RecomputeOp, path: str | None = None):
-        self.exact, self.n, self.path = exact, exact.n, path
-        tile, across = exact.tiles(np.float32), -(-self.n // exact.columns)
+        self.exact, self.n, self.path, self.mixed = exact, exact.n, path, exact.mixed
+        tiles, rows, columns = exact.tiles(np.float32), exact.rows, exact.columns
+        ends = np.cumsum([4 * (p[1] - p[0]) * (p[3] - p[2]) for p in exact.pairs])
+        held = exact.pairs[: int(np.searchsorted(ends, STORED_BYTES, "right"))]
+        self.others = exact.pairs[len(held) :]
 
         def build(batches):
             for pdf in batches:
-                for i in pdf["id"]:
-                    for j in range(across):
-                        yield pd.DataFrame({"i": [i], "j": [j], "data": [tile(int(i), j).tobytes()]})
+                for k in pdf["id"]:
+                    tile = tiles(*held[k])
+                    for i, i_end, j, j_end in within(held[k], rows, columns):
+                        yield pd.DataFrame({"i": [i], "j": [j], "twice": [held[k][0] != held[k][2]], "columns": [j_end - j], "data": [tile(i, i_end, j, j_end).tobytes()]})
 
-        made = exact.spark.range(-(-self.n // exact.rows)).mapInPandas(build, "i long, j long, data binary")
+        made = exact.spark.range(0, len(held), 1, max(1, len(held))).mapInPandas(build, "i long, j long, twice boolean, columns long, data binary")
         if path:
             made.write.mode("overwrite").parquet(path)
             self.frame: DataFrame | None = exact.spark.read.parquet(path)
         else:
             self.frame = made.persist(StorageLevel.MEMORY_AND_DISK)
 
+    @property
+    def precondition(self) -> Callable | None:
+        return self.exact.precondition
+
     def matvec32(self, x):
         if self.frame is None:
             raise RuntimeError("the blocks were closed")
-        n, rows, columns, v = self.n, self.exact.rows, self.exact.columns, self.exact.spark.sparkContext.broadcast(checked(x.astype(np.float32)))
+        return self.exact.single(x, lambda v: self.stored(v) + self.exact.over(v, np.float32, self.others))
+
+    def stored(self, x: np.ndarray) -> np.ndarray:
+        v = self.exact.spark.sparkContext.broadcast(checked(x.astype(np.float32)))
 
         def run(batches):
+            y = defaultdict(float)  # parts of the product, by the first row and how many
             for pdf in batches:
-                for i, j, data in zip(pdf["i"], pdf["j"], pdf["data"], strict=True):
-                    part = v.value[j * columns : (j + 1) * columns]
-                    yield pd.DataFrame({"i": [i], "y": [(np.frombuffer(data, np.float32).reshape(-1, len(part)) @ part).astype(np.float64).tobytes()]})
-
-        y = np.zeros(n)
-        for r in self.frame.mapInPandas(run, "i long, y binary").toLocalIterator(prefetchPartitions=True):
-            part = np.frombuffer(r["y"])
-            y[r["i"] * rows : r["i"] * rows + len(part)] += part
-        v.unpersist()
+                for i, j, twice, columns, data in pdf.itertuples(index=False):
+                    t = np.frombuffer(data, np.float32).reshape(-1, columns)
+                    y[i, len(t)] += (t @ v.value[j : j + columns]).astype(np.float64)
+                    if twice:
+                        y[j, columns] += (t.T @ v.value[i : i + len(t)]).astype(np.float64)
+            yield pd.DataFrame({"at": [k[0] for k in y], "y": [part.tobytes() for part in y.values()]})
+
+        y = added(x.shape, self.frame.mapInPandas(run, "at long, y binary").collect())
+        v.destroy()
         return y
 
     def matvec64(self, x):
